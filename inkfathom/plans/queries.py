@@ -1,9 +1,371 @@
-"""Registered queries of the document-index engine."""
+"""Registered queries of the document index, each over its whole tables, and the same in DuckDB SQL."""
 
+from __future__ import annotations
 
-def queries():
-    return {}
+from collections.abc import Callable
 
+from pyspark.sql import DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
 
-def oracle_sql():
-    return {}
+from inkfathom.functions.embed import HashingProvider, embed_column, l2_normalised
+from inkfathom.functions.units import WORD_START, token_count
+from inkfathom.operators import chunking, evaluate, paragraphs, search
+from inkfathom.operators.paragraphs import chunk_id, from_text, with_offsets, with_sections
+from inkfathom.sources.docx import parse_column
+from inkfathom.sources.questions import expected_list
+
+Query = Callable[[SparkSession, str], DataFrame]
+QUERIES: dict[str, Query] = {}
+SQL: dict[str, str] = {}
+#: The stated query set of searches: ids divisible by this, against all rows.
+EVERY = 50
+
+
+def query(sql: str | None = None):
+    def add(f: Query) -> Query:
+        QUERIES[f.__name__] = f
+        if sql:
+            SQL[f.__name__] = sql
+        return f
+
+    return add
+
+
+def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
+    return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+HEADING = F.when(F.col("idx") % 7 == 0, 1 + F.floor(F.col("idx") / 7) % 3)
+
+
+def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Paragraphs of the documents with a heading at every seventh line, levels 1 to 3 in turn."""
+    return from_text(table(spark, sf_dir, "documents"), heading=HEADING)
+
+
+def located(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return with_sections(with_offsets(lines(spark, sf_dir)), 3)
+
+
+_P = r"""
+with r as (select doc_id as doc, unnest(string_split(text, chr(10))) as t, generate_subscripts(string_split(text, chr(10)), 1) as i from documents),
+n as (select doc, i, trim(regexp_replace(t, '[\t-\r \x{85}\x{A0}\x{1680}\x{2000}-\x{200A}\x{2028}\x{2029}\x{202F}\x{205F}\x{3000}]+', ' ', 'g'), ' ') as text from r),
+p0 as (select doc, row_number() over (partition by doc order by i) - 1 as idx, text from n where text <> ''),
+p1 as (select doc, idx, text, case when idx % 7 = 0 then 1 + (idx // 7) % 3 end as heading,
+  coalesce(sum(length(text) + 1) over (partition by doc order by idx rows between unbounded preceding and 1 preceding), 0)::bigint as start from p0),
+p2 as (select *, start + length(text) as stop,
+  max(case when heading = 1 then idx end) over w as i1, max(case when heading = 2 then idx end) over w as i2, max(case when heading = 3 then idx end) over w as i3,
+  last_value(case when heading = 1 then text end ignore nulls) over w as t1, last_value(case when heading = 2 then text end ignore nulls) over w as t2, last_value(case when heading = 3 then text end ignore nulls) over w as t3
+  from p1 window w as (partition by doc order by idx rows between unbounded preceding and current row)),
+p as (select doc, idx::int as idx, text, heading, start, stop, concat_ws(' > ', t1, case when i2 > coalesce(i1, -1) then t2 end, case when i3 > coalesce(i1, -1) and i3 > coalesce(i2, -1) then t3 end) as section from p2)
+"""
+
+
+@query(_P + "select doc, idx, text from p")
+def paragraph_rows(spark, sf_dir):
+    return lines(spark, sf_dir).select("doc", "idx", "text")
+
+
+@query(_P + 'select doc, idx, start, stop from p')
+def paragraph_offsets(spark, sf_dir):
+    return with_offsets(lines(spark, sf_dir)).select("doc", "idx", "start", F.col("end").alias("stop"))
+
+
+@query(_P + "select doc, string_agg(text, chr(10) order by idx) as text, length(string_agg(text, chr(10) order by idx)) as char_len from p group by doc")
+def document_texts(spark, sf_dir):
+    return paragraphs.document_text(lines(spark, sf_dir)).select("doc", "text", F.col("char_len").cast("long").alias("char_len"))
+
+
+@query(_P + "select doc, idx, section from p")
+def section_paths(spark, sf_dir):
+    return located(spark, sf_dir).select("doc", "idx", "section")
+
+
+def spans(rows: DataFrame) -> DataFrame:
+    """Spans of 400 characters every 300 over each document."""
+    ends = rows.groupBy("doc").agg(F.max("end").alias("n"))
+    at = ends.select("doc", "n", F.explode(F.sequence(F.lit(0).cast("long"), F.greatest(F.col("n") - 1, F.lit(0)), F.lit(300).cast("long"))).alias("span_start"))
+    return at.select("doc", "span_start", F.least(F.col("span_start") + 400, F.col("n")).alias("span_end"))
+
+
+_S = _P + ", s as (select doc, span_start, least(span_start + 400, n) as span_end from (select doc, n, unnest(range(0, n, 300)) as span_start from (select doc, max(stop) as n from p group by doc)))"
+
+
+@query(_S + " select s.doc, span_start as pos, coalesce(p.section, '') as section from s asof left join p on s.doc = p.doc and s.span_start >= p.start")
+def section_asof(spark, sf_dir):
+    rows = located(spark, sf_dir)
+    return paragraphs.section_at(spans(rows).select("doc", F.col("span_start").alias("pos")), rows).select("doc", "pos", "section")
+
+
+@query(
+    _S
+    + """, j as (select s.doc, span_start, span_end, section from s join p on s.doc = p.doc and p.start < span_end and p.stop > span_start),
+r as (select doc, span_start, span_end, arg_min(section, length(section)) as root from j group by 1, 2, 3)
+select j.doc, j.span_start, j.span_end, not bool_and(section = root or (root <> '' and starts_with(section, root || ' > '))) as crosses_section
+from j join r using (doc, span_start, span_end) group by 1, 2, 3"""
+)
+def crosses_section(spark, sf_dir):
+    rows = located(spark, sf_dir)
+    return paragraphs.crosses_section(spans(rows), rows)
+
+
+@query(
+    _S
+    + r""", d as (select doc, string_agg(text, chr(10) order by idx) as text from p group by doc)
+select s.doc, span_start, span_end, not (span_end = 0 or span_end >= length(text) or text[span_end + 1] = chr(10)
+  or regexp_matches(text[span_start + 1:span_end], '[.!?…]["''»”)\]]*\z')) as cut from s join d on s.doc = d.doc"""
+)
+def cut_mid_sentence(spark, sf_dir):
+    rows = with_offsets(lines(spark, sf_dir))
+    texts = paragraphs.document_text(rows)
+    cut = paragraphs.cut_mid_sentence(F.col("text"), F.col("span_start").cast("int"), F.col("span_end").cast("int"))
+    return spans(rows).join(texts, "doc").select("doc", "span_start", "span_end", cut.alias("cut"))
+
+
+@query(_P + "select a.doc, a.idx, coalesce(min(b.idx), any_value(c.n))::int as end_idx from p a left join p b on a.doc = b.doc and b.idx > a.idx and b.heading <= a.heading join (select doc, count(*) as n from p group by doc) c on a.doc = c.doc where a.heading is not null group by 1, 2")
+def section_ends(spark, sf_dir):
+    return paragraphs.section_end(lines(spark, sf_dir)).select("doc", "idx", "end_idx")
+
+
+@query("select printf('%s:%s:%04d', 'line', source, row_number() over (partition by source order by doc_id) - 1) as chunk_id, doc_id from documents")
+def chunk_ids(spark, sf_dir):
+    ordinal = F.row_number().over(Window.partitionBy("source").orderBy("doc_id")) - 1
+    return table(spark, sf_dir, "documents").select(chunk_id(F.lit("line"), F.col("source"), ordinal).alias("chunk_id"), "doc_id")
+
+
+def packed_lines(spark, sf_dir) -> DataFrame:
+    return chunking.documents_of(lines(spark, sf_dir), F.format_string("doc%d.docx", F.col("doc")), F.format_string("doc%d", F.col("doc")))
+
+
+@query()
+def fixed_chunks(spark, sf_dir):
+    return chunking.chunk_rows(packed_lines(spark, sf_dir), chunking.Fixed())
+
+
+@query()
+def structure_chunks(spark, sf_dir):
+    return chunking.chunk_rows(packed_lines(spark, sf_dir), chunking.Structure())
+
+
+@query()
+def chunk_boundary_stats(spark, sf_dir):
+    docs = packed_lines(spark, sf_dir)
+    made = chunking.chunk_rows(docs, chunking.Fixed()).union(chunking.chunk_rows(docs, chunking.Structure()))
+    return evaluate.boundary_stats(made, ["strategy"])
+
+
+PIECES = [WORD_START + x for x in "the of and to in is that for on with as by at be an or re er on en es de la le el die der und".split()] + list("abcdefghijklmnopqrstuvwxyz") + ["ing", "tion", "ent", "ich", "sch"]
+
+
+@query()
+def token_counts(spark, sf_dir):
+    return table(spark, sf_dir, "documents").select("doc_id", token_count(F.col("text"), PIECES).alias("tokens"))
+
+
+@query()
+def bow_embed(spark, sf_dir):
+    made = embed_column(table(spark, sf_dir, "documents").where("text is not null"), HashingProvider(64), "doc_id", "text")
+    return made.select("doc_id", F.transform("vector", lambda x: F.round(x.cast("double"), 6)).alias("vector"))
+
+
+@query("select vec_id, list_transform(embedding, lambda x: round(x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))), 6)) as vector from embeddings")
+def l2_normalize(spark, sf_dir):
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(l2_normalised(F.col("embedding")), lambda x: F.round(x, 6)).alias("vector"))
+
+
+def vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:
+    """Chunks (vec_id, label, vector) and queries (qid, query_vector): ids divisible by EVERY."""
+    rows = table(spark, sf_dir, "embeddings").select("vec_id", "label", F.col("embedding").alias("vector"))
+    return rows, rows.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), F.col("vector").alias("query_vector"))
+
+
+_V = f"""
+with q as (select vec_id as qid, label as want, embedding::double[] as qv from embeddings where vec_id % {EVERY} = 0),
+s as (select qid, want, vec_id, label, list_sum(list_transform(list_zip(qv, embedding::double[]), lambda x: x[1] * x[2])) as score from q, embeddings),
+c as (select *, row_number() over (partition by qid order by round(score, 9) desc, vec_id) as rank from s qualify rank <= 20)
+"""
+
+
+def ranked(spark, sf_dir, method: str = "matmul", k: int = 20) -> DataFrame:
+    rows, asked = vectors(spark, sf_dir)
+    found = search.candidates(asked, rows.select("vec_id", "vector"), k, ["vec_id"], method)
+    return found.withColumn("score", F.round("score", 6))
+
+
+@query(_V + "select qid, vec_id, round(score, 6) as score, rank from c where rank <= 10")
+def cosine_topk(spark, sf_dir):
+    return ranked(spark, sf_dir, k=10)
+
+
+@query(_V + "select qid, vec_id, round(score, 6) as score, rank from c where rank <= 10")
+def cosine_topk_expr(spark, sf_dir):
+    return ranked(spark, sf_dir, "expr", 10)
+
+
+@query(_V + "select qid, count(*) as candidates, count(*) filter (round(score, 6) >= 0.5) as kept from c group by qid")
+def cosine_threshold(spark, sf_dir):
+    return ranked(spark, sf_dir).groupBy("qid").agg(F.count("*").alias("candidates"), F.count_if(F.col("score") >= 0.5).alias("kept"))
+
+
+@query(_V + ", m(mode, t) as (values ('baseline', -1.0), ('filter', 0.5)), f as (select mode, qid, vec_id, row_number() over (partition by mode, qid order by round(score, 6) desc, vec_id) as rank from c, m where round(score, 6) >= t) select mode, qid, vec_id, rank from f where rank <= 5")
+def candidate_then_topk_modes(spark, sf_dir):
+    found = ranked(spark, sf_dir).drop("rank")
+    modes = spark.createDataFrame([("baseline", -1.0), ("filter", 0.5)], "mode string, t double")
+    last = Window.partitionBy("mode", "qid").orderBy(F.desc("score"), "vec_id")
+    kept = found.crossJoin(F.broadcast(modes)).where("score >= t").withColumn("rank", F.row_number().over(last))
+    return kept.where("rank <= 5").select("mode", "qid", "vec_id", "rank")
+
+
+def label_ranks(spark, sf_dir) -> DataFrame:
+    rows, asked = vectors(spark, sf_dir)
+    questions = rows.where(F.col("vec_id") % EVERY == 0).select(F.col("vec_id").alias("qid"), F.array(((F.col("label") + 1) % 10).cast("string")).alias("expected"), F.lit(None).cast("string").alias("source"))
+    found = ranked(spark, sf_dir).join(rows.select("vec_id", F.col("label").cast("string").alias("section"), F.lit("x").alias("source")), "vec_id")
+    return evaluate.ranks(found, questions, [])
+
+
+_R = _V + ", r as (select q.qid, min(c.rank) as rank from q left join c on q.qid = c.qid and c.label = (q.want + 1) % 10 group by q.qid)"
+
+
+@query(_R + " select qid, rank from r")
+def rank_first_hit(spark, sf_dir):
+    return label_ranks(spark, sf_dir)
+
+
+@query(_R + " select round(avg((coalesce(rank, 99) <= 1)::int), 6) as hit_1, round(avg((coalesce(rank, 99) <= 5)::int), 6) as hit_5, round(avg(coalesce(1.0 / rank, 0)), 6) as mrr, count(*) filter (rank is null) as no_results from r")
+def hit_mrr(spark, sf_dir):
+    m = evaluate.metrics(label_ranks(spark, sf_dir), [])
+    return m.select(*(F.round(c, 6).alias(c) for c in ("hit_1", "hit_5", "mrr")), "no_results")
+
+
+@query("select item_id from benchmark b where not exists (select 1 from documents d where d.source = 'src' || (b.item_id % 30)::varchar)")
+def unreachable_anti(spark, sf_dir):
+    questions = table(spark, sf_dir, "benchmark").select(F.col("item_id").alias("qid"), F.array(F.concat(F.lit("src"), F.col("item_id") % 30)).alias("expected"), F.lit(None).cast("string").alias("source"))
+    chunks = table(spark, sf_dir, "documents").select(F.col("source").alias("section"), F.lit("x").alias("source"))
+    return evaluate.unreachable(questions, chunks).select(F.col("qid").alias("item_id"))
+
+
+@query('select lang, min(length(text)) as "min", quantile_disc(length(text), 0.5)::bigint as median, quantile_disc(length(text), 0.95)::bigint as p95, max(length(text)) as "max" from documents group by lang')
+def length_stats(spark, sf_dir):
+    return evaluate.length_stats(table(spark, sf_dir, "documents"), F.length("text"), ["lang"])
+
+
+@query("with s as (select source as strategy, avg(quality) as mrr, avg(toxic) as hit_5, count(*) as n from documents join labels using (doc_id) group by source) select strategy from s order by round(mrr, 9) desc, round(hit_5, 9) desc, n, strategy desc limit 1")
+def best_strategy(spark, sf_dir):
+    s = table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id").groupBy(F.col("source").alias("strategy")).agg(F.avg("quality").alias("mrr"), F.avg("toxic").alias("hit_5"), F.count("*").alias("n"))
+    return s.agg(F.max_by("strategy", F.struct(F.round("mrr", 9), F.round("hit_5", 9), -F.col("n"), F.col("strategy"))).alias("strategy"))
+
+
+PHRASES = 'вопрос «of the» и „die der“ и «one»'
+
+
+@query("select doc_id, (contains(lower(text), 'of the')::int + contains(lower(text), 'die der')::int)::int as hits from documents")
+def phrase_rerank(spark, sf_dir):
+    found = search.phrases(PHRASES)
+    hits = F.size(F.filter(F.array(*map(F.lit, sorted(found))), lambda p: F.contains(F.lower("text"), p)))
+    return table(spark, sf_dir, "documents").select("doc_id", hits.alias("hits"))
+
+
+@query("select source as strategy, count(*) as chunks from documents group by source")
+def chunks_per_strategy(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("strategy")).agg(F.count("*").alias("chunks"))
+
+
+@query("select count(*) as orphans from documents d left join labels l on d.doc_id = l.doc_id where l.doc_id is null")
+def orphan_chunks(spark, sf_dir):
+    return table(spark, sf_dir, "documents").join(table(spark, sf_dir, "labels"), "doc_id", "left_anti").agg(F.count("*").alias("orphans"))
+
+
+@query("select distinct lang as model, len(embedding)::int as dim from documents, (select embedding from embeddings order by vec_id limit 1)")
+def distinct_models(spark, sf_dir):
+    one = table(spark, sf_dir, "embeddings").orderBy("vec_id").limit(1).select(F.size("embedding").alias("dim"))
+    return table(spark, sf_dir, "documents").select(F.col("lang").alias("model")).distinct().crossJoin(F.broadcast(one))
+
+
+@query("select d.doc_id, d.source, quality, row_number() over (order by d.source, d.doc_id) as position from documents d join labels using (doc_id) where lang = 'de'")
+def load_join(spark, sf_dir):
+    """A strategy's rows in load order; the position is counted by source first, so that no task has all rows."""
+    rows = table(spark, sf_dir, "documents").where("lang = 'de'").join(table(spark, sf_dir, "labels"), "doc_id").select("doc_id", "source", "quality")
+    sizes = rows.groupBy("source").agg(F.count("*").alias("n"))
+    before = sizes.select("source", (F.sum("n").over(Window.orderBy("source")) - F.col("n")).alias("before"))  # a row for each source
+    inner = F.row_number().over(Window.partitionBy("source").orderBy("doc_id"))
+    return rows.withColumn("inner", inner).join(before, "source").select("doc_id", "source", "quality", (F.col("inner") + F.col("before")).cast("long").alias("position"))
+
+
+@query("select source as strategy, doc_id, text from documents where source <> 'src1' union all select 'src1', vec_id, label::varchar from embeddings")
+def replace_strategy(spark, sf_dir):
+    old = table(spark, sf_dir, "documents").select(F.col("source").alias("strategy"), "doc_id", "text")
+    new = table(spark, sf_dir, "embeddings").select(F.lit("src1").alias("strategy"), F.col("vec_id").alias("doc_id"), F.col("label").cast("string").alias("text"))
+    return old.where(F.col("strategy") != "src1").unionByName(new)
+
+
+@query("with o as (select source as strategy, count(*) as chunks from documents group by source) select * from o where strategy <> 'src2' union all select 'src2', -1")
+def build_upsert(spark, sf_dir):
+    old = table(spark, sf_dir, "documents").groupBy(F.col("source").alias("strategy")).agg(F.count("*").alias("chunks"))
+    new = spark.range(1).select(F.lit("src2").alias("strategy"), F.lit(-1).cast("long").alias("chunks"))
+    return old.where(F.col("strategy") != "src2").unionByName(new)
+
+
+@query("select source as stem, count(*) as n from documents group by source having count(*) > 1")
+def duplicate_stems(spark, sf_dir):
+    return table(spark, sf_dir, "documents").groupBy(F.col("source").alias("stem")).agg(F.count("*").alias("n")).where("n > 1")
+
+
+@query("select count(*) as files, sum(length(text))::bigint as chars from documents")
+def corpus_size(spark, sf_dir):
+    return table(spark, sf_dir, "documents").agg(F.count("*").alias("files"), F.sum(F.length("text")).alias("chars"))
+
+
+@query("with q as (select item_id, case when item_id % 2 = 0 then '[\"a\",\"' || item_id || '\"]' else 's' || item_id end as raw from benchmark) select item_id, case when raw like '[%' then array_to_string(cast(raw as json)::varchar[], '|') else raw end as expected from q")
+def questions_union_type(spark, sf_dir):
+    raw = F.when(F.col("item_id") % 2 == 0, F.format_string('["a","%d"]', F.col("item_id"))).otherwise(F.concat(F.lit("s"), F.col("item_id")))
+    return table(spark, sf_dir, "benchmark").select("item_id", F.array_join(expected_list(raw), "|").alias("expected"))
+
+
+@query("select page_id, regexp_extract(html, '<title>([^<]*)</title>', 1) as title, regexp_extract(html, '<h1>([^<]*)</h1>', 1) as heading from pages")
+def html_title_headings(spark, sf_dir):
+    pick = lambda tag: F.regexp_extract("html", f"<{tag}>([^<]*)</{tag}>", 1)
+    return table(spark, sf_dir, "pages").select("page_id", pick("title").alias("title"), pick("h1").alias("heading"))
+
+
+@query("select lang as strategy, '{\"files\":' || count(*) || ',\"chars\":' || sum(n_chars) || '}' as params from documents group by lang")
+def status_json(spark, sf_dir):
+    b = table(spark, sf_dir, "documents").groupBy(F.col("lang").alias("strategy")).agg(F.count("*").alias("files"), F.sum("n_chars").alias("chars"))
+    return b.select("strategy", F.to_json(F.struct("files", "chars")).alias("params"))
+
+
+@query("select doc_id, regexp_extract('/corpus/' || source || '/doc.' || doc_id || '.docx', '([^/]+)$', 1) as name, 'doc.' || doc_id as stem from documents")
+def file_names(spark, sf_dir):
+    path = F.concat(F.lit("/corpus/"), "source", F.lit("/doc."), "doc_id", F.lit(".docx"))
+    return table(spark, sf_dir, "documents").select("doc_id", paragraphs.file_name(path).alias("name"), paragraphs.file_stem(path).alias("stem"))
+
+
+@query(_P + "select doc as doc_id, count(*) as paragraphs, sum(length(text))::bigint as chars from p group by doc")
+def docx_round_trip(spark, sf_dir):
+    """Each document written as a .docx package of its lines and read back."""
+    import io
+    import zipfile
+    from xml.sax.saxutils import escape
+
+    def packed(batches):
+        for part in batches:
+            out = []
+            for text in part["text"]:
+                body = "".join(f"<w:p><w:r><w:t>{escape(x)}</w:t></w:r></w:p>" for x in text.split("\n"))
+                blob = io.BytesIO()
+                with zipfile.ZipFile(blob, "w") as z:
+                    z.writestr("word/document.xml", f'<w:document xmlns:w="w"><w:body>{body}</w:body></w:document>')
+                out.append(blob.getvalue())
+            yield part.assign(content=out)[["path", "content"]]
+
+    rows = table(spark, sf_dir, "documents").where("text is not null").select(F.format_string("/c/%d.docx", "doc_id").alias("path"), "text")
+    docs = parse_column(rows.mapInPandas(packed, "path string, content binary"))
+    n = F.aggregate("paragraphs", F.lit(0), lambda a, p: a + F.length(p["text"]))
+    return docs.where(F.size("paragraphs") > 0).select(F.col("stem").cast("long").alias("doc_id"), F.size("paragraphs").cast("long").alias("paragraphs"), n.cast("long").alias("chars"))
+
+
+def queries() -> dict[str, Query]:
+    return dict(QUERIES)
+
+
+def oracle_sql() -> dict[str, str]:
+    return dict(SQL)
