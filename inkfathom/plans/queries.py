@@ -100,9 +100,9 @@ def section_asof(spark, sf_dir):
 @query(
     _S
     + """, j as (select s.doc, span_start, span_end, section from s join p on s.doc = p.doc and p.start < span_end and p.stop > span_start),
-r as (select doc, span_start, span_end, arg_min(section, length(section)) as root from j group by 1, 2, 3)
+roots as (select doc, span_start, span_end, arg_min(section, length(section)) as root from j group by 1, 2, 3)
 select j.doc, j.span_start, j.span_end, not bool_and(section = root or (root <> '' and starts_with(section, root || ' > '))) as crosses_section
-from j join r using (doc, span_start, span_end) group by 1, 2, 3"""
+from j join roots using (doc, span_start, span_end) group by 1, 2, 3"""
 )
 def crosses_section(spark, sf_dir):
     rows = located(spark, sf_dir)
