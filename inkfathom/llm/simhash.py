@@ -26,7 +26,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfathom.llm.common import cut, lower_ascii, map_texts, words
+from inkfathom.llm.common import cut, lower_ascii, map_texts
 from inkfathom.llm.components import smallest_reachable
 
 RADIUS = 3
@@ -39,10 +39,9 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
 
     A bit is 1 if it is set in over half of the shingles' XXH64, repeats included. A text of fewer words is one shingle.
     """
-    w = [x.encode() for x in words(text)]
+    w = lower_ascii((text or "").encode()).split()  # at the six white-space characters of ASCII
     if not w:
         return 0
-    w = lower_ascii(b"\n".join(w)).split(b"\n")
     h, join = xxhash.xxh64_intdigest, b" ".join
     hashes = [h(join(t), SEED) for t in zip(*(w[i:] for i in range(size)))] or [h(join(w), SEED)]
     bits = np.zeros(64, np.int64)
@@ -86,7 +85,8 @@ def with_partners(fps: DataFrame) -> DataFrame:
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges a, b between distinct fingerprints (column fp), all within RADIUS bits, whose components are those of all such pairs."""
-    some = with_partners(fps)
+    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    some = with_partners(fps).repartition(tasks, "fp")  # each row grows a thousandfold
     even = F.bit_count("fp") % 2 == 0
     near = F.transform(_longs(NEAR), lambda m: m.bitwiseXOR(F.col("fp")))
     far = F.transform(_longs(FAR), lambda m: m.bitwiseXOR(F.col("fp")))
