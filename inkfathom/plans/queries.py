@@ -35,12 +35,10 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-HEADING = F.when(F.col("idx") % 7 == 0, 1 + F.floor(F.col("idx") / 7) % 3)
-
-
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of the documents with a heading at every seventh line, levels 1 to 3 in turn."""
-    return from_text(table(spark, sf_dir, "documents"), heading=HEADING)
+    level = F.when(F.col("idx") % 7 == 0, 1 + F.floor(F.col("idx") / 7) % 3)
+    return from_text(table(spark, sf_dir, "documents"), heading=level)
 
 
 def located(spark: SparkSession, sf_dir: str) -> DataFrame:
