@@ -98,8 +98,8 @@ def _bags(columns: dict[str, list], features: Features) -> dict[str, list]:
     return {"doc_id": columns["doc_id"], "label": columns["label"], "bucket": [b.tolist() for b, _ in found], "count": [c.tolist() for _, c in found]}
 
 
-def sample(rows: DataFrame, features: Features, size: int = SAMPLE, classes: int = 0) -> tuple[list[tuple[np.ndarray, np.ndarray]], list]:
-    """Bags and labels of a bounded sample of rows (doc_id, text, label), half of it dealt to each class alike.
+def sample(rows: DataFrame, features: Features, size: int = SAMPLE) -> tuple[list[tuple[np.ndarray, np.ndarray]], list]:
+    """Bags and labels of a bounded sample of rows (doc_id, text, label), the same number of each class (of at most 1,000 classes).
 
     The order is by hash of id and text, so it does not depend on how rows are stored.
     """
@@ -115,10 +115,12 @@ def sample(rows: DataFrame, features: Features, size: int = SAMPLE, classes: int
         return [], []
     chosen = keyed.join(F.broadcast(few.distinct()), "key").drop("key").dropDuplicates(["doc_id", "text", "label"])
     bags = map_texts(chosen.select("doc_id", "text", "label"), _bags, f"doc_id long, label {rows.schema['label'].dataType.simpleString()}, bucket array<int>, count array<int>", (features,))
-    got = sorted(bags.collect(), key=lambda r: (r.doc_id is None, r.doc_id, str(r.label)))
-    rng = np.random.default_rng(7)
-    order = rng.permutation(len(got))
-    return [(np.array(got[i].bucket, np.int64), np.array(got[i]["count"], float)) for i in order], [got[i].label for i in order]
+    got = bags.toArrow()  # size rows of at most BUCKETS numbers
+    ids, labels = got["doc_id"].to_pylist(), got["label"].to_pylist()
+    order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, str(labels[i])))
+    order = [order[i] for i in np.random.default_rng(7).permutation(len(order))]
+    bucket, count = (got[n].combine_chunks() for n in ("bucket", "count"))
+    return [(bucket[i].values.to_numpy(), count[i].values.to_numpy().astype(np.float32)) for i in order], [labels[i] for i in order]
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray]], labels: list, features: Features, dim: int = DIM, epochs: int = EPOCHS, rate: float = 0.4, weights: dict | None = None, reject_part: float = 0.01) -> Model:
