@@ -29,8 +29,8 @@ SIZE = 1024
 END = 2
 #: Words kept by a worker, and the longest that is kept (characters).
 KEPT, KEPT_CHARS = 300_000, 48
-#: Rows of one length that one task ranks.
-SALTED = 100_000
+#: A group that one task ranks holds this many rows at most, and this part of all rows at most.
+GROUP_ROWS, GROUP_PARTS = 100_000, 1024
 
 
 class Encoder:
@@ -142,11 +142,15 @@ def best_fit(counts: dict[int, int], size: int = SIZE) -> tuple[dict[int, list[t
     return plan, made
 
 
-def _ranked(rows: DataFrame) -> DataFrame:
-    """rows with rank, from 0, within their length; equal documents in a row, in order of doc_id, piece."""
-    salts = F.greatest(F.lit(1), F.ceil(F.col("n") / SALTED))
-    counts = rows.groupBy("length").agg(F.count("*").alias("n"))
-    salted = rows.join(F.broadcast(counts), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "copy"), salts)).drop("n")
+def _ranked(rows: DataFrame, counts: dict[int, int]) -> DataFrame:
+    """rows with rank, from 0, within their length, of which counts has the number of rows.
+
+    A length is dealt to groups by hash, in order of doc_id, piece within one; a row that repeats goes to the group of the first.
+    """
+    total = sum(counts.values())
+    salts = {n: max(-(-c // GROUP_ROWS), -(-c * GROUP_PARTS // total)) for n, c in counts.items()}
+    known = rows.sparkSession.createDataFrame(list(salts.items()), "length long, salts long")  # size rows at most
+    salted = rows.join(F.broadcast(known), "length").withColumn("salt", F.pmod(F.xxhash64("doc_id", "piece", "copy"), "salts")).drop("salts")
     groups = salted.groupBy("length", "salt").agg(F.count("*").alias("n"))
     before = groups.select("length", "salt", (F.sum("n").over(Window.partitionBy("length").orderBy("salt")) - F.col("n")).alias("before"))
     inner = F.row_number().over(Window.partitionBy("length", "salt").orderBy("doc_id", "piece", "copy", "start"))
@@ -176,7 +180,7 @@ def placed(rows: DataFrame, size: int = SIZE) -> DataFrame:
                 offset[at] = begin[run] + inside % each[run] * n
             yield pa.RecordBatch.from_arrays([*(batch.column(n) for n in names), pa.array(sequence), pa.array(offset)], names=[*names, "sequence_id", "offset"])
 
-    return _ranked(rows).select(*names, "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
+    return _ranked(rows, counts).select(*names, "rank").mapInArrow(place, "doc_id long, piece int, start long, length long, ids_crc32 long, sequence_id long, offset long")
 
 
 def pack(docs: DataFrame, path: str, size: int = SIZE, end: int = END, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
