@@ -27,18 +27,12 @@ from inkfathom.llm.common import cut, map_texts
 
 SIZE = 1024
 END = 2
-#: Words kept by a worker, and the longest that is kept (characters).
-KEPT, KEPT_CHARS = 300_000, 48
 #: A group that one task ranks holds this many rows at most, and this part of all rows at most.
 GROUP_ROWS, GROUP_PARTS = 100_000, 1024
 
 
 class Encoder:
-    """Ids as tokenizers gives them for a byte-level BPE file, word by word with recent words kept.
-
-    A space begins a word and the pattern of the model never joins what stands before a single space to what follows, so
-    texts without neighbouring spaces are encoded from their words; others, or with special tokens in them, whole.
-    """
+    """Ids as tokenizers gives them for a byte-level BPE file: tiktoken over the same vocabulary, and tokenizers for texts with special tokens."""
 
     def __init__(self, path: str):
         self.whole = Tokenizer.from_file(path)
@@ -48,29 +42,12 @@ class Encoder:
         ranks = {base64.b64decode(a): int(b) for a, b in map(bytes.split, open(plain, "rb"))}
         self.parts = tiktoken.Encoding("parts", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={})
         self.special = [t.content for t in self.whole.get_added_tokens_decoder().values()]
-        self.kept: dict[str, bytes] = {}
-        self.older: dict[str, bytes] = {}
-
-    def word(self, word: str) -> bytes:
-        if (known := self.kept.get(word)) is not None:
-            return known
-        if (made := self.older.get(word)) is None:
-            made = np.array(self.parts.encode_ordinary(word), "<u4").tobytes()
-        if len(word) <= KEPT_CHARS:
-            if len(self.kept) >= KEPT // 2:  # words that recur move to the new table
-                self.kept, self.older = {}, self.kept
-            self.kept[word] = made
-        return made
 
     def ids(self, text: str) -> bytes:
         """Little-endian unsigned 32-bit ids, without the end id."""
         if any(s in text for s in self.special):
             return np.array(self.whole.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
-        if "  " in text:
-            return np.array(self.parts.encode_ordinary(text), "<u4").tobytes()
-        first, *rest = text.split(" ")
-        word = self.word
-        return b"".join([word(first) if first else b"", *[word(" " + w) for w in rest]])
+        return np.array(self.parts.encode_ordinary(text), "<u4").tobytes()
 
 
 @cache
