@@ -7,6 +7,7 @@ import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -16,8 +17,8 @@ from pyspark.sql.pandas.types import to_arrow_schema
 SPACE = " \t\n\x0b\x0c\r"
 SPACES = re.compile(r"[\x20\x09-\x0D]+")
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
-#: Characters of text that a Python worker turns at once; bounds its memory whatever the batch.
-CHUNK_CHARS = 2_000_000
+#: Bytes of text that a Python worker turns at once; bounds its memory whatever the batch.
+CHUNK_BYTES = 2_000_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -55,8 +56,8 @@ def cut(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
-def chunks(lengths: list[int], limit: int = CHUNK_CHARS) -> Iterator[slice]:
-    """Slices of whole rows of about limit characters; a longer row stands alone."""
+def chunks(lengths: list[int], limit: int = CHUNK_BYTES) -> Iterator[slice]:
+    """Slices of whole rows of about limit bytes; a longer row stands alone."""
     start = size = 0
     for i, n in enumerate(lengths):
         if i > start and size + n > limit:
@@ -77,9 +78,9 @@ def map_texts(df: DataFrame, fn: Callable[..., dict[str, list]], schema: str, ar
 
     def turn(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            rows = {n: c.to_pylist() for n, c in zip(batch.schema.names, batch.columns)}
-            for part in chunks([len(x or "") for x in rows["text"]]):
-                made = fn({n: c[part] for n, c in rows.items()}, *args)
+            for part in chunks(pc.fill_null(pc.binary_length(batch.column("text")), 0).to_pylist()):
+                few = batch.slice(part.start, part.stop - part.start)
+                made = fn({n: c.to_pylist() for n, c in zip(few.schema.names, few.columns)}, *args)
                 yield pa.RecordBatch.from_arrays([pa.array(made[f.name], f.type) for f in out], schema=out)
 
     return df.mapInArrow(turn, kinds)
