@@ -86,7 +86,7 @@ def with_partners(fps: DataFrame) -> DataFrame:
 def links(fps: DataFrame) -> DataFrame:
     """Edges a, b between distinct fingerprints (column fp), all within RADIUS bits, whose components are those of all such pairs."""
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = with_partners(fps).repartition(tasks, "fp")  # each row grows a thousandfold
+    some = with_partners(fps).repartition(tasks, F.xxhash64("fp"))  # each row grows a thousandfold; by fp alone Spark drops this deal and merges the few rows into one task
     even = F.bit_count("fp") % 2 == 0
     near = F.transform(_longs(NEAR), lambda m: m.bitwiseXOR(F.col("fp")))
     far = F.transform(_longs(FAR), lambda m: m.bitwiseXOR(F.col("fp")))
