@@ -12,9 +12,9 @@ FEATURES = Features(grams=(1, 2, 3), lower=False, words=True)
 THRESHOLD = 0.7
 
 
-def learn(rows: DataFrame, size: int = SAMPLE) -> Model:
-    """A model from rows (doc_id, text, label); label is 0 or 1, other rows are left out."""
-    return train(*sample(rows.where(F.col("label").isin(0, 1)), FEATURES, size), FEATURES)
+def learn(rows: DataFrame, marks: DataFrame, size: int = SAMPLE) -> Model:
+    """A model from rows (doc_id, text) and marks (doc_id, label); label is 0 or 1, other marks are left out."""
+    return train(*sample(rows, FEATURES, size, marks.where(F.col("label").isin(0, 1))), FEATURES)
 
 
 def _predict(columns: dict[str, list], model) -> dict[str, list]:
@@ -27,9 +27,8 @@ def _predict(columns: dict[str, list], model) -> dict[str, list]:
 
 def classifier(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
     """Learned from the labelled documents whose crc32(doc_id) mod 4 is not 2."""
-    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").alias("label")).where(F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False)))
-    rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")).join(marks, "doc_id")
-    return learn(rows.select("doc_id", "text", F.col("label").cast("int").alias("label")), size)
+    marks = labels.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("quality").cast("int").alias("label")).where(F.coalesce(crc_mod("doc_id", 4) != 2, F.lit(False)))
+    return learn(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text")), marks, size)
 
 
 def score(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:

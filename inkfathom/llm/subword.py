@@ -18,7 +18,7 @@ import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfathom.llm.common import lower_ascii, map_texts
+from inkfathom.llm.common import cut, lower_ascii, map_texts
 
 BUCKETS = 1 << 15
 SAMPLE = 3000
@@ -98,23 +98,27 @@ def _bags(columns: dict[str, list], features: Features) -> dict[str, list]:
     return {"doc_id": columns["doc_id"], "label": columns["label"], "bucket": [b.tolist() for b, _ in found], "count": [c.tolist() for _, c in found]}
 
 
-def sample(rows: DataFrame, features: Features, size: int = SAMPLE) -> tuple[list[tuple[np.ndarray, np.ndarray]], list]:
+def sample(rows: DataFrame, features: Features, size: int = SAMPLE, marks: DataFrame | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], list]:
     """Bags and labels of a bounded sample of rows (doc_id, text, label), the same number of each class (of at most 1,000 classes).
 
-    The order is by hash of id and text, so it does not depend on how rows are stored.
+    marks (doc_id, label) has the labels of rows without that column; it is joined by ids and hashes, so that texts are never shuffled
+    for it. The order is by hash of id and text, so it does not depend on how rows are stored.
     """
-    labels = sorted(r.label for r in rows.select("label").distinct().limit(1000).collect())
+    key = F.xxhash64("doc_id", "text").alias("key")
+    keyed = rows.select("doc_id", key).join(marks, "doc_id").select("key", "label") if marks is not None else rows.select(key, "label")
+    keyed = cut(keyed)  # a key and a label a row
+    labels = sorted(r.label for r in keyed.select("label").distinct().limit(1000).collect())
     share = max(1, size // max(1, len(labels)))
     # chosen by id and hash first, without the texts; then the texts of those
-    keyed = rows.withColumn("key", F.xxhash64("doc_id", "text"))
     few = None
     for label in labels:
-        part = keyed.where(F.col("label") == F.lit(label)).select("key").orderBy("key").limit(share)
+        part = keyed.where(F.col("label") == F.lit(label)).distinct().orderBy("key").limit(share)
         few = part if few is None else few.union(part)
     if few is None:
         return [], []
-    chosen = keyed.join(F.broadcast(few.distinct()), "key").drop("key").dropDuplicates(["doc_id", "text", "label"])
-    bags = map_texts(chosen.select("doc_id", "text", "label"), _bags, f"doc_id long, label {rows.schema['label'].dataType.simpleString()}, bucket array<int>, count array<int>", (features,))
+    kind = keyed.schema["label"].dataType.simpleString()
+    chosen = rows.select("doc_id", "text", key).join(F.broadcast(few), "key").select("doc_id", "text", "label").distinct()  # few has size rows
+    bags = map_texts(chosen, _bags, f"doc_id long, label {kind}, bucket array<int>, count array<int>", (features,))
     got = bags.toArrow()  # size rows of at most BUCKETS numbers
     ids, labels = got["doc_id"].to_pylist(), got["label"].to_pylist()
     order = sorted(range(len(ids)), key=lambda i: (ids[i] is None, ids[i] or 0, str(labels[i])))
