@@ -30,10 +30,16 @@ CANDIDATE = re.compile(r"[A-Za-z0-9+/_=-]{16,}")
 #: Credentials and ordinary runs of each kind that are learned from.
 LABELLED = 400
 ALPHA = 0.02
-#: Characters of a candidate that the automata read at once; a longer one is read in such parts.
+#: Most characters of a candidate that the automata read at once; a longer one is read in even parts.
 PART = 256
 
 
+def parts(run: str) -> list[str]:
+    """The whole run, in as few even parts as PART allows."""
+    n = -(-len(run) // PART)
+    return [run[len(run) * i // n : len(run) * (i + 1) // n] for i in range(n)]
+
+
 def base_spans(text: str) -> list[tuple[int, int, str]]:
     """start, end, kind of the base rules' spans, code points, end exclusive, sorted by start and kind as listed."""
     out = []
@@ -159,10 +165,8 @@ class Scanner:
             return None
         if (known := self.kept.get(run, "")) != "":
             return known
-        seen = run
         best = None
-        for i in range(0, len(seen), PART):
-            part = seen[i : i + PART]
+        for part in parts(run):
             plain = ordinary_score(self.ordinary, part)
             for kind, a in self.formats.items():
                 over = a.score(part) - plain - self.thresholds[kind]
@@ -197,9 +201,9 @@ def _labelled(columns: dict[str, list]) -> dict[str, list]:
         found = {"assign": [ASSIGN.match(text, s)[2] for s, _, k in base if k == "assign"], "access": [text[s:e] for s, e, k in base if k == "access"], "hex": [text[s:e] for s, e, k in base if k == "hex"]}
         found["ordinary"] = [m[0] for m in CANDIDATE.finditer(text) if not any(s < m.end() and e > m.start() for s, e, _ in base)]
         for kind, runs in found.items():
-            for run in runs:
+            for part in (x for run in runs for x in parts(run)):
                 out["kind"].append(kind)
-                out["run"].append(run[:PART])
+                out["run"].append(part)
     return out
 
 
@@ -211,6 +215,7 @@ def learn(rows: DataFrame, size: int = LABELLED) -> Scanner:
         part = runs.where(F.col("kind") == kind).orderBy(F.xxhash64("run"), "run").limit(size)
         chosen[kind] = [r.run for r in part.collect()]
     ordinary = Automaton([s for i, s in enumerate(chosen["ordinary"]) if i % 4]) if len(chosen["ordinary"]) >= 20 else None
+
     def plain(s: str) -> float:
         return ordinary_score(ordinary, s)
 

@@ -99,6 +99,12 @@ def test_secrets_base_and_method(spark, odd, empty):
     assert secrets.redact(odd).where("text is null").count() == 1
 
 
+def test_long_runs_are_read_whole_in_even_parts():
+    for n in (1, 255, 256, 257, 259, 512, 513, 10_000):
+        made = secrets.parts("".join(chr(65 + i % 26) for i in range(n)))
+        assert "".join(made) == "".join(chr(65 + i % 26) for i in range(n)) and max(map(len, made)) <= secrets.PART and max(map(len, made)) - min(map(len, made)) <= 1
+
+
 def test_automaton_learns_a_format():
     rng = random.Random(3)
     good = ["AKIA" + "".join(rng.choice("ABCDEFGH") for _ in range(12)) for _ in range(300)]
