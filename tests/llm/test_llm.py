@@ -233,6 +233,27 @@ def test_mixer_is_a_probability():
     assert abs(total + end - 1) < 1e-6
 
 
+def test_contexts_grow_with_the_words(spark):
+    """Whole-word contexts are counted exactly over the edges of many blocks, and each byte context has cells of its own to spare."""
+    rng = random.Random(5)
+    n = Counter({bytes(rng.choice(b"ab\xc3\xa9z") for _ in range(rng.randint(0, 12))): rng.randint(0, 3) for _ in range(45_000)})
+    n.update({b"x" * k: 2 for k in range(1, 300)})
+    made = context_mixing.blocks(spark.createDataFrame([(w, k, k + 1) for w, k in n.items()], "word binary, n long, every long")).cache()
+    rows = [r.asDict() for r in made.collect()]
+    assert len(rows) > 4 and Counter({w: k for r in rows for w, k in zip(r["words"], r["n"])}) == n
+    edges, want = context_mixing.edges(rows), Counter()
+    names = {w: "".join(f"{b:08b}" for b in w + b"\xff") for w in n}
+    for w, bits in names.items():
+        for s in range(len(bits) + 1):
+            want[bits[:s]] += n[w]
+    assert len(want) > context_mixing.CELLS
+    for r in rows:
+        got = context_mixing.context_counts([w + b"\xff" for w in r["words"]], np.array(r["n"], float), *edges[r["id"]])
+        assert got.tolist() == [want[names[w][:s]] for w in r["words"] for s in range(len(names[w]) + 1)]
+    keys = np.unique(np.random.default_rng(1).integers(0, 1 << 32, 300_000))
+    assert [len(s) > len(np.unique(keys & (1 << 8 * (o + 1)) - 1)) for o, s in zip(context_mixing.ORDERS, context_mixing.tables(keys, np.ones(len(keys))).stretch)] == [True] * sum(o > 0 for o in context_mixing.ORDERS)
+
+
 def test_packing(odd, empty, docs):
     path = public_tokenizers.path(BYTE_BPE)
     e = packing.encoder(path)
