@@ -254,6 +254,12 @@ def test_contexts_grow_with_the_words(spark):
     assert [len(s) > len(np.unique(keys & (1 << 8 * (o + 1)) - 1)) for o, s in zip(context_mixing.ORDERS, context_mixing.tables(keys, np.ones(len(keys))).stretch)] == [True] * sum(o > 0 for o in context_mixing.ORDERS)
 
 
+def test_mixer_learns_by_five_predictors_and_a_map_of_the_final_weights(spark):
+    assert context_mixing.ORDERS == (1, 2, 3, 4, 0)
+    sums = context_mixing.score(spark.read.parquet("/root/testdata/sf0.1/documents.parquet")).where("held_out").agg({"score": "sum", "n_bytes": "sum"}).first().asDict()
+    assert -sums["sum(score)"] / math.log10(2) / sums["sum(n_bytes)"] < 2.5
+
+
 def test_packing(odd, empty, docs):
     path = public_tokenizers.path(BYTE_BPE)
     e = packing.encoder(path)
