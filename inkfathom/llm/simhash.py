@@ -113,9 +113,24 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """The rows of docs whose id is the smallest of its component: one document of each group, with all its columns.
+    """One row of docs for each component, with all its columns: that of the smallest id, then of the least hash of the text.
 
-    Rows that repeat an id are all kept or all dropped.
+    A null id comes after all others, so a document without an id stays if no other of its component has one. Of rows that
+    repeat an id and a text one stays.
     """
-    kept = near_duplicates(docs, id_col, text_col).where("doc_id = component_id").select(F.col("doc_id").alias("_kept")).distinct()
-    return docs.join(kept, F.col(id_col).cast("long") == F.col("_kept"), "left_semi")
+    key = {"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(F.col(text_col))}
+    rows = docs.select(*(c.alias(n) for n, c in key.items()), F.col(text_col).alias("text"))
+    made = cut(map_texts(rows, lambda c: {"_id": c["_id"], "_hash": c["_hash"], "fp": [fingerprint(t) for t in c["text"]]}, "_id long, _hash long, fp long"))
+    keys = made.groupBy("fp", "_id", "_hash").agg(F.count("*").alias("n"))
+    firsts = cut(keys.groupBy("fp").agg(F.min(F.struct(F.isnull("_id").alias("none"), "_id", "_hash", "n")).alias("first")))
+    reached = smallest_reachable(links(firsts.select("fp")), firsts.withColumnRenamed("fp", "node").withColumnRenamed("first", "rank"))
+    kept = cut(reached.select("smallest.*").distinct().select(F.col("_id").alias("_kept"), F.col("_hash").alias("_same"), "n"))
+    named = docs.withColumns(key)
+
+    def of(some: DataFrame) -> DataFrame:
+        return named.join(some, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_same")), "left_semi")
+
+    repeated = kept.where("n > 1")
+    if repeated.isEmpty():
+        return of(kept).select(docs.columns)
+    return of(kept.where("n = 1")).unionByName(of(repeated).dropDuplicates(["_id", "_hash"])).select(docs.columns)

@@ -179,6 +179,18 @@ def test_simhash(spark, odd, empty, docs):
                 assert root(a) == root(b)
 
 
+def test_keep_first_keeps_one_row_of_each_component(spark, empty):
+    a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
+    rows = [(None, a), (5, a), (None, b), (None, c), (None, c), (7, d), (7, d), (7, a), (8, d), (9, e), (9, e + " more words")]
+    frame = spark.createDataFrame([(i, t, "en", "h", 0, "", "") for i, t in rows], SCHEMA)
+    assert len({simhash.fingerprint(t) for t in (a, b, c, d, e)}) == 5
+    got = Counter((r.doc_id, r.text) for r in simhash.keep_first(frame).collect())
+    far = bin((simhash.fingerprint(e) ^ simhash.fingerprint(e + " more words")) & (1 << 64) - 1).count("1") > 3
+    nines = Counter({t: n for (i, t), n in got.items() if i == 9})
+    assert sum(nines.values()) == 1 + far and {k: n for k, n in got.items() if k[0] != 9} == {(5, a): 1, (None, b): 1, (None, c): 1, (7, d): 1}
+    assert simhash.keep_first(empty).count() == 0
+
+
 def test_language(odd, empty, spark):
     frame = spark.read.parquet("/root/testdata/sf0.01/documents.parquet")
     got = language.identify(frame).toPandas().merge(frame.select("doc_id", "lang").toPandas(), on="doc_id")
