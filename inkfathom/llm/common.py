@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -37,23 +38,77 @@ def documents(spark: SparkSession, sf_dir: str, table: str = "documents") -> Dat
 
 
 def scratch(spark: SparkSession) -> str:
-    """The shared folder that the cluster names in spark.checkpoint.dir; a folder of our own only where that is unset."""
+    """The shared folder that the cluster names in spark.checkpoint.dir.
+
+    Only where that is unset and driver and executors are one process a folder under the warehouse serves; elsewhere that is an error,
+    since executors would write where nobody else reads.
+    """
     if not (folder := spark.conf.get("spark.checkpoint.dir", None)):
         context = spark.sparkContext._jsc.sc()
         if context.getCheckpointDir().isDefined():
             folder = context.getCheckpointDir().get()
+        elif spark.sparkContext.master.startswith("local") and "cluster" not in spark.sparkContext.master:
+            folder = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_checkpoints"
         else:
-            warehouse = spark.conf.get("spark.sql.warehouse.dir")
-            folder = f"{warehouse.rstrip('/')}/_checkpoints"
+            raise ValueError("spark.checkpoint.dir names no folder that the driver and the executors share")
     return folder.rstrip("/")
 
 
+#: Ends an execution's shuffle files with the execution: its rows stand in the table by then.
+CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_tables: dict[str, SparkSession] = {}
+
+
 def cut(df: DataFrame) -> DataFrame:
-    """The same rows, written as a Parquet table in the shared folder and read again: short lineage that outlives lost executors."""
+    """The same rows, written as a Parquet table in the shared folder and read again: short lineage that outlives lost executors.
+
+    drop() removes the table; what is left goes when the driver ends.
+    """
     spark = df.sparkSession
     path = f"{scratch(spark)}/inkfathom-{uuid.uuid4().hex}"
-    df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    if not _tables:
+        atexit.register(_drop_all)
+    _tables[path] = spark
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        df.write.parquet(path)
+    finally:
+        spark.conf.set(CLEANUP, before)
+    made = spark.read.schema(df.schema).parquet(path)
+    made._inkfathom = path
+    return made
+
+
+def drop(*tables: DataFrame | None) -> None:
+    """Removes the tables of cut() that nothing reads any more."""
+    for df in tables:
+        if df is not None and (path := getattr(df, "_inkfathom", None)) in _tables:
+            _remove(_tables.pop(path), path)
+
+
+def _remove(spark: SparkSession, path: str) -> None:
+    at = spark._jvm.org.apache.hadoop.fs.Path(path)
+    at.getFileSystem(spark._jsparkSession.sessionState().newHadoopConf()).delete(at, True)
+
+
+def _drop_all() -> None:
+    for path, spark in list(_tables.items()):
+        try:
+            _remove(spark, path)
+        except Exception:  # the session may have ended first
+            break
+
+
+def unused(df: DataFrame, *names: str) -> list[str]:
+    """These names, with underscores before them where df has such a column already."""
+    taken, out = {c.lower() for c in df.columns}, []
+    for name in names:
+        while name.lower() in taken:
+            name = f"_{name}"
+        taken.add(name.lower())
+        out.append(name)
+    return out
 
 
 def chunks(lengths: list[int], limit: int = CHUNK_BYTES) -> Iterator[slice]:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfathom.llm.common import cut
+from inkfathom.llm.common import cut, drop
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
@@ -33,7 +33,8 @@ def smallest_reachable(edges: DataFrame, nodes: DataFrame, most_rounds: int = 60
         state = (now.n, now.h)
         if not now.n:
             break
-        stars = cut(_star(_star(stars, True), False))
+        before, stars = stars, cut(_star(_star(stars, True), False))
+        drop(before)
     else:
         raise RuntimeError("the components did not settle")
     roots = nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", "rank", F.coalesce("root", "node").alias("root"))

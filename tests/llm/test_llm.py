@@ -1,5 +1,6 @@
 """Each operator against brute force, a library or held-out rows, and over nulls, empty and long texts, ties and repeated rows."""
 
+import bisect
 import hashlib
 import math
 import random
@@ -12,7 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 
-from inkfathom.llm import context_mixing, language, line_dedup, packing, progressive_jpeg, quality_classifier, quality_rules, secrets, sentencepiece_bpe, simhash
+from inkfathom.llm import common, context_mixing, language, line_dedup, packing, progressive_jpeg, quality_classifier, quality_rules, secrets, sentencepiece_bpe, simhash
 from inkfathom.llm.queries import BYTE_BPE, PIECE_BPE
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, copy string"
@@ -294,20 +295,54 @@ def test_packing(odd, empty, docs):
     assert packing.pack(empty, path).count() == 0
 
 
-def test_best_fit_plan_is_exact():
-    rng = random.Random(9)
-    for _ in range(30):
-        counts = {rng.randint(1, 64): rng.randint(1, 200) for _ in range(rng.randint(1, 30))}
-        plan, made = packing.best_fit(counts, 64)
-        seen: dict[int, list[tuple[int, int]]] = {}
-        for n, c in counts.items():
-            for rank in range(c):
-                r = [x for x in plan[n] if x[0] <= rank][-1]
-                seen.setdefault(r[1] + (rank - r[0]) // r[3], []).append((r[2] + (rank - r[0]) % r[3] * n, n))
-        assert len(seen) == made
-        for placed in seen.values():
-            placed.sort()
-            assert placed[0][0] == 0 and all(a + n == b for (a, n), (b, _) in zip(placed, placed[1:])) and sum(placed[-1]) <= 64
+def brute_best_fit(lengths, size):
+    """Sequences of plain best fit, longest first."""
+    gaps, made = [], 0
+    for n in sorted(lengths, reverse=True):
+        at = bisect.bisect_left(gaps, n)
+        gap = gaps.pop(at) if at < len(gaps) else size
+        made += gap == size and at >= len(gaps)
+        if gap > n:
+            bisect.insort(gaps, gap - n)
+    return made
+
+
+@pytest.mark.parametrize("kind", ["few lengths", "any", "one length"])
+def test_sweeps_reach_best_fit(spark, kind):
+    rng = random.Random(kind)
+    lengths = [{"few lengths": rng.choice([1, 1, 1, 5, 100, 300, 700]), "any": rng.randint(1, 1024), "one length": 600 if rng.random() < 0.9 else 200}[kind] for _ in range(4000)]
+    rows = common.cut(spark.createDataFrame([(None, 0, 0, n, 7, i) for i, n in enumerate(lengths)], packing.PIECE + ", row long"))
+    got = packing.placed(rows).toPandas()
+    assert Counter(got.length) == Counter(lengths)
+    for _, g in got.sort_values(["sequence_id", "offset"]).groupby("sequence_id"):
+        assert g.offset.tolist() == [0, *np.cumsum(g.length)[:-1]] and g.length.sum() <= 1024
+    assert got.sequence_id.nunique() <= 1.01 * brute_best_fit(lengths, 1024) + 3
+
+
+def test_carried_slots_go_to_the_nearest_later_range():
+    """Against a stack of single slots over all ranges."""
+    rng = random.Random(4)
+    for _ in range(200):
+        parts = [(p, rng.randint(0, 5), rng.randint(0, 5)) for p in range(rng.randint(0, 8))]
+        stack, want = [], {}
+        for p, left, slots in parts:
+            for rank in range(left):
+                if stack:
+                    want[p, rank] = stack.pop()
+            stack += [(p, i) for i in range(slots)]
+        runs, ends = packing.carried(parts)
+        assert {(p, a + i): (q, top - i) for p, a, b, q, top in runs for i in range(b - a)} == want
+        assert all(got == sum(p == x for x, _ in want) and kept == sum(q == p for q, _ in stack) for p, got, kept in ends)
+
+
+def test_long_white_space_is_encoded(spark):
+    path = public_tokenizers.path(BYTE_BPE)
+    e = packing.encoder(path)
+    for c, n in ((" ", 2_000_000), ("\n", 2_000_000), ("\t", 1_200_000), (" ", 49_999), ("\u00a0", 60_000)):
+        text = "a" + c * n + "b"
+        assert np.frombuffer(e.ids(text), "<u4").tolist() == e.whole.encode(text, add_special_tokens=False).ids
+    got = packing.pack(spark.createDataFrame([(1, " " * 1_200_000)], "doc_id long, text string"), path).toPandas()
+    assert got.length.sum() == len(e.ids(" " * 1_200_000)) // 4 + 1
 
 
 def test_sentencepiece(odd, empty, docs):
