@@ -9,12 +9,13 @@ one of the pair is even). The variants are shuffled; what meets on a variant is
 * one that reaches it with two flips differs in three bits at most from each of those.
 
 So all that meet with at least one near member join a star round that member, whose edges are verified by bit count.
-No bucket holds more than the 2,081 points of a ball, however many documents are copies, since fingerprints are made
+No variant is met by more than the 2,081 points of a ball, however many documents are copies, since fingerprints are made
 distinct first.
 
-Most fingerprints have no partner at all. Before the balls are emitted, those that share no key with another are set
-apart: of six blocks of bits at least three are equal for two fingerprints within distance three, so a pair shares one of
-the 20 keys made of three blocks. This loses no link.
+All fingerprints emit all their variants, 1,073 each on average. They are packed: a row of the shuffle holds those of
+one bucket of variants, ten bytes each (the variant, and which flips lead back to the fingerprint), and a bucket is sorted by
+variant in numpy. So that the shuffle needs little disk the variants are dealt to PASSES passes by their hash, one after the other, about
+2.7 kB a distinct text in each; a pass's shuffle files go before the next begins.
 """
 
 from __future__ import annotations
@@ -22,11 +23,12 @@ from __future__ import annotations
 from itertools import combinations
 
 import numpy as np
+import pyarrow as pa
 import xxhash
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfathom.llm.common import cut, lower_ascii, map_texts
+from inkfathom.llm.common import cut, drop, lower_ascii, map_texts, unused
 from inkfathom.llm.components import smallest_reachable
 
 RADIUS = 3
@@ -66,42 +68,97 @@ NEAR = [0, *(_flips(a) for a in range(64))]
 FAR = [_flips(a, b) for a, b in combinations(range(64), 2)]
 
 
-def _masks() -> list[int]:
-    blocks = np.array_split(np.arange(64), 6)
-    return [_flips(*(int(b) for x in three for b in blocks[x])) for three in combinations(range(6), 3)]
-
-
-def _longs(values: list[int]) -> Column:
-    return F.expr("array(" + ", ".join(f"{v}L" if v > -(1 << 63) else "(-9223372036854775807L - 1L)" for v in values) + ")")
-
-
-def with_partners(fps: DataFrame) -> DataFrame:
-    """Of the distinct fingerprints (column fp), those that share at least one key with another: a superset of the linked ones."""
-    masks = _masks()
-    keyed = fps.select("fp", F.posexplode(F.transform(_longs(masks), lambda m: m.bitwiseAND(F.col("fp")))).alias("k", "part"))
-    shared = keyed.groupBy("k", "part").agg(F.count("*").alias("n")).where("n > 1").select("k", "part")
-    return keyed.join(shared, ["k", "part"], "left_semi").select("fp").distinct()
+FLIPS = np.array([f & (1 << 64) - 1 for f in NEAR + FAR], np.uint64)
+#: Passes over the variants, bytes of a packed variant, of a bucket that one call sorts, and of what a task packs at once.
+PASSES, PACKED, BUCKET_BYTES, FLUSH_BYTES = 4, 10, 8_000_000, 8_000_000
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
+def variants(fps: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """The variants that distinct fingerprints emit, and the number in FLIPS of each."""
+    n, near = len(fps), len(NEAR)
+    even = fps[np.bitwise_count(fps) % 2 == 0]
+    made = np.concatenate([(fps[:, None] ^ FLIPS[:near]).ravel(), (even[:, None] ^ FLIPS[near:]).ravel()])
+    return made, np.concatenate([np.tile(np.arange(near, dtype=np.uint16), n), np.tile(np.arange(near, len(FLIPS), dtype=np.uint16), len(even))])
+
+
+def emitted(fps: DataFrame, turn: int, buckets: int) -> DataFrame:
+    """bucket and packed variants of one pass, from distinct fingerprints (column fp)."""
+
+    def emit(batches):
+        kept: list[tuple[np.ndarray, ...]] = []
+
+        def packed():
+            v, code, bucket = (np.concatenate(x) for x in zip(*kept))
+            order = np.argsort(bucket, kind="stable")
+            v, code, bucket = v[order], code[order], bucket[order]
+            edges = np.flatnonzero(np.diff(bucket, prepend=-1)).tolist() + [len(bucket)]
+            parts = list(zip(edges, edges[1:]))
+            columns = [pa.array([int(bucket[a]) for a, _ in parts], pa.int64()), pa.array([v[a:b].tobytes() for a, b in parts], pa.binary()), pa.array([code[a:b].tobytes() for a, b in parts], pa.binary())]
+            return pa.RecordBatch.from_arrays(columns, names=["bucket", "variants", "flips"])
+
+        size = 0
+        for batch in batches:
+            every = batch.column("fp").to_numpy().view(np.uint64)
+            for i in range(0, len(every), 256):
+                v, code = variants(every[i : i + 256])
+                mixed = (v * _SPREAD) >> np.uint64(30)
+                own = np.flatnonzero(mixed & np.uint64(PASSES - 1) == turn)
+                v, code, mixed = v[own], code[own], mixed[own] >> np.uint64(2)
+                kept.append((v, code, (mixed * np.uint64(buckets) >> np.uint64(32)).astype(np.int64)))
+                size += len(v) * PACKED
+                if size > FLUSH_BYTES:
+                    yield packed()
+                    size = 0
+                    kept.clear()
+        if size:
+            yield packed()
+
+    return fps.select("fp").mapInArrow(emit, "bucket long, variants binary, flips binary")
+
+
+def _meet(table: pa.Table) -> pa.Table:
+    """Edges of one bucket: what meets on a variant, to the least of those with a flip at most."""
+    v = np.frombuffer(b"".join(table.column("variants").to_pylist()), np.uint64)
+    code = np.frombuffer(b"".join(table.column("flips").to_pylist()), np.uint16)
+    order = np.argsort(v)
+    v, code = v[order], code[order]
+    same = v[1:] == v[:-1]
+    some = np.flatnonzero(np.append(same, False) | np.append(False, same))
+    edges = np.zeros((0, 2), np.int64)
+    if len(some):
+        v, code = v[some], code[some]
+        fp, near = (v ^ FLIPS[code]).view(np.int64), code < len(NEAR)
+        begin = np.flatnonzero(np.append(True, v[1:] != v[:-1]))
+        centre = np.minimum.reduceat(np.where(near, fp, np.iinfo(np.int64).max), begin)
+        size = np.diff(np.append(begin, len(v)))
+        keep = np.repeat(np.logical_or.reduceat(near, begin), size)
+        a, b = fp[keep], np.repeat(centre, size)[keep]
+        right = (a != b) & (np.bitwise_count((a ^ b).view(np.uint64)) <= RADIUS)
+        edges = np.unique(np.stack([a[right], b[right]], axis=1), axis=0)
+    return pa.table({"a": pa.array(edges[:, 0]), "b": pa.array(edges[:, 1])})
 
 
 def links(fps: DataFrame) -> DataFrame:
     """Edges a, b between distinct fingerprints (column fp), all within RADIUS bits, whose components are those of all such pairs."""
     tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    some = with_partners(fps).repartition(tasks, F.xxhash64("fp"))  # each row grows a thousandfold; by fp alone Spark drops this deal and merges the few rows into one task
-    even = F.bit_count("fp") % 2 == 0
-    near = F.transform(_longs(NEAR), lambda m: m.bitwiseXOR(F.col("fp")))
-    far = F.transform(_longs(FAR), lambda m: m.bitwiseXOR(F.col("fp")))
-    emitted = some.select("fp", F.explode(F.when(even, F.concat(near, far)).otherwise(near)).alias("variant"))
-    close = F.bit_count(F.col("variant").bitwiseXOR(F.col("fp"))) <= 1
-    met = emitted.groupBy("variant").agg(F.min(F.when(close, F.col("fp"))).alias("centre"), F.collect_list("fp").alias("fps")).where("centre is not null and size(fps) > 1")
-    edges = met.select("centre", F.explode("fps").alias("fp")).where("fp <> centre").distinct()
-    return edges.where(F.bit_count(F.col("fp").bitwiseXOR(F.col("centre"))) <= RADIUS).select(F.col("fp").alias("a"), F.col("centre").alias("b"))
+    dealt = cut(fps.repartition(tasks, F.xxhash64("fp")))  # each row grows a thousandfold
+    average = len(NEAR) + len(FAR) / 2
+    buckets = max(tasks, round(dealt.count() * average * PACKED / PASSES / BUCKET_BYTES))
+    found = [cut(emitted(dealt, turn, buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long")) for turn in range(PASSES)]
+    every = found[0]
+    for more in found[1:]:
+        every = every.union(more)
+    drop(dealt)
+    return every.distinct()
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint (16 hex digits) and component_id, the smallest doc_id that links of RADIUS bits or fewer reach.
 
     One row for each row of docs; rows with equal texts have equal fingerprints. Texts that are null, empty or only
-    white space have fingerprint zero and are linked like any other. An empty table gives no rows; other columns are not read.
+    white space have fingerprint zero and are linked like any other; a long text is read whole. A null id is no component's id unless
+    all of its rows lack one. An empty table gives no rows; other columns are not read, so their names do not matter.
     """
     made = cut(fingerprints(docs, id_col, text_col))
     firsts = cut(made.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")))
@@ -116,21 +173,23 @@ def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text")
     """One row of docs for each component, with all its columns: that of the smallest id, then of the least hash of the text.
 
     A null id comes after all others, so a document without an id stays if no other of its component has one. Of rows that
-    repeat an id and a text one stays.
+    repeat an id and a text one stays. Null, empty and blank texts are one component. Long texts are read whole, columns may have any
+    names, and an empty table stays empty.
     """
-    key = {"_id": F.col(id_col).cast("long"), "_hash": F.xxhash64(F.col(text_col))}
-    rows = docs.select(*(c.alias(n) for n, c in key.items()), F.col(text_col).alias("text"))
-    made = cut(map_texts(rows, lambda c: {"_id": c["_id"], "_hash": c["_hash"], "fp": [fingerprint(t) for t in c["text"]]}, "_id long, _hash long, fp long"))
-    keys = made.groupBy("fp", "_id", "_hash").agg(F.count("*").alias("n"))
-    firsts = cut(keys.groupBy("fp").agg(F.min(F.struct(F.isnull("_id").alias("none"), "_id", "_hash", "n")).alias("first")))
+    ident, same, kept_ident, kept_same, times = unused(docs, "_id", "_hash", "_kept", "_same", "_times")
+    key = {ident: F.col(id_col).cast("long"), same: F.xxhash64(F.col(text_col))}
+    rows = docs.select(key[ident].alias("id"), key[same].alias("hash"), F.col(text_col).alias("text"))
+    made = cut(map_texts(rows, lambda c: {"id": c["id"], "hash": c["hash"], "fp": [fingerprint(t) for t in c["text"]]}, "id long, hash long, fp long"))
+    keys = made.groupBy("fp", "id", "hash").agg(F.count("*").alias("n"))
+    firsts = cut(keys.groupBy("fp").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "hash", "n")).alias("first")))
     reached = smallest_reachable(links(firsts.select("fp")), firsts.withColumnRenamed("fp", "node").withColumnRenamed("first", "rank"))
-    kept = cut(reached.select("smallest.*").distinct().select(F.col("_id").alias("_kept"), F.col("_hash").alias("_same"), "n"))
+    kept = cut(reached.select("smallest.*").distinct().select(F.col("id").alias(kept_ident), F.col("hash").alias(kept_same), F.col("n").alias(times)))
     named = docs.withColumns(key)
 
     def of(some: DataFrame) -> DataFrame:
-        return named.join(some, F.col("_id").eqNullSafe(F.col("_kept")) & (F.col("_hash") == F.col("_same")), "left_semi")
+        return named.join(some, F.col(ident).eqNullSafe(F.col(kept_ident)) & (F.col(same) == F.col(kept_same)), "left_semi")
 
-    repeated = kept.where("n > 1")
+    repeated = kept.where(F.col(times) > 1)
     if repeated.isEmpty():
         return of(kept).select(docs.columns)
-    return of(kept.where("n = 1")).unionByName(of(repeated).dropDuplicates(["_id", "_hash"])).select(docs.columns)
+    return of(kept.where(F.col(times) == 1)).unionByName(of(repeated).dropDuplicates([ident, same])).select(docs.columns)
