@@ -78,13 +78,16 @@ def code_table(symbols: list[int], lengths: list[int]) -> tuple[np.ndarray, np.n
     return codes, sizes
 
 
-#: One table for all scans: symbols by likelihood in text, in lengths that leave the code of ones free.
+#: Symbols by likelihood in text, in lengths that leave the code of ones free: bits of a difference of DC, and runs and bits of AC.
+DC_SYMBOLS = [5, 6, 4, 3, 0, 1, 2, 7, 8, 9, 10, 11]
+DC_LENGTHS = [2, 2, 3, 3, 4, 5, 5, 5, 7, 7, 7, 7]
 _FIRST = [0x05, 0x04, 0x07, 0x06, 0x03, 0x00, 0x01, 0x02, 0x08]
 _REST = [s for s in range(256) if s not in _FIRST and (s & 15 <= 10)]
 SYMBOLS = _FIRST + _REST
 LENGTHS = [2, 2, 3, 3, 4, 5, 6, 6, 6] + [14] * len(_REST)
+DC_CODES, DC_SIZES = code_table(DC_SYMBOLS, DC_LENGTHS)
 CODES, SIZES = code_table(SYMBOLS, LENGTHS)
-assert sum(2.0**-n for n in LENGTHS) < 1
+assert sum(2.0**-n for n in LENGTHS) < 1 and sum(2.0**-n for n in DC_LENGTHS) < 1
 
 
 def _size(v: np.ndarray) -> np.ndarray:
@@ -132,7 +135,7 @@ def _scan_bits(coefficients: np.ndarray, order: np.ndarray, scan: Scan, per_lane
             diff[own[1:]] -= np.where(same, dc[own[:-1]], 0)
         s = _size(diff)
         extra = np.where(diff < 0, diff + (1 << s) - 1, diff)
-        return lane, (CODES[s] << s) | extra, SIZES[s] + s
+        return lane, (DC_CODES[s] << s) | extra, DC_SIZES[s] + s
     band = c[:, scan.ss : scan.se + 1]
     width = band.shape[1]
     seen = np.abs(band) >> scan.al
@@ -187,8 +190,7 @@ def _segment(marker: int, body: bytes) -> bytes:
 
 def _head(units: int) -> bytes:
     frame = b"\x08" + (16 * units).to_bytes(2, "big") + (24).to_bytes(2, "big") + bytes([3]) + b"".join(bytes([c.ident, c.h * 16 + c.v, 0]) for c in COMPONENTS)
-    counts = bytes(LENGTHS.count(n) for n in range(1, 17))
-    tables = b"".join(bytes([k]) + counts + bytes(SYMBOLS) for k in (0x00, 0x10))
+    tables = b"".join(bytes([k]) + bytes(lengths.count(n) for n in range(1, 17)) + bytes(symbols) for k, symbols, lengths in ((0x00, DC_SYMBOLS, DC_LENGTHS), (0x10, SYMBOLS, LENGTHS)))
     return b"\xff\xd8" + _segment(0xDB, b"\x00" + bytes([1] * 64)) + _segment(0xC2, frame) + _segment(0xC4, tables)
 
 
@@ -503,6 +505,7 @@ def rgb(image: Image, coefficients: np.ndarray) -> np.ndarray:
         flat = np.zeros((len(own), 64), np.float32)
         flat[:, ZIGZAG] = own * image.quant.get(image.quant_of[k], np.ones(64, np.float32))
         plane = (flat @ INVERSE).reshape(rows, across, 8, 8).transpose(0, 2, 1, 3).reshape(rows * 8, across * 8)
+        plane = np.clip(np.rint(plane), -128, 127)  # samples have eight bits
         planes.append(np.repeat(np.repeat(plane, v // c.v, axis=0), h // c.h, axis=1)[: image.height, : image.width])
     if len(planes) == 1:
         planes = [planes[0], *[np.zeros_like(planes[0])] * 2]
@@ -550,12 +553,13 @@ def _media(columns: dict[str, list], tensors: bool) -> dict[str, list]:
     return out
 
 
-def store(docs: DataFrame, tensors: bool = False, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of each row.
+def store(docs: DataFrame, tensors: bool = True, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """doc_id, n_bytes, payload_bytes, payload_sha256, tail_crc32, media_bytes, media_sha256 and feature of each row, media and rgb.
 
-    The payload is read back from the stored bytes. feature: size, mean colours and crc32 of the RGB tensor. With tensors also
-    media and rgb, the stored bytes and the tensor's. A null text is empty: one unit of 255. Equal texts give equal values; other
-    columns are not read.
+    media are the stored bytes, one or more JPEGs that any reader takes, and rgb the tensor's, rows of 24 pixels, three bytes each; without tensors they are left out.
+    The payload is read back from the stored bytes. feature: size, mean colours and crc32 of the RGB tensor. A null text is empty:
+    one unit of 255. Equal texts and repeated rows give equal values, a row each; a text over UNIT * MOST_UNITS bytes goes to several images,
+    and none is cut short. Other columns are not read, whatever their names; an empty table gives no rows.
     """
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"))
     schema = "doc_id long, n_bytes long, payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
