@@ -9,30 +9,42 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfathom.llm.common import SPACE, WORD_SPLIT
+from inkfathom.llm.common import SPACE, WORD_SPLIT, cut, unused
 
 LINES = 3
+#: Repeated windows with more than this part of all their occurrences are joined by broadcast: fewer than so many.
+HOT = 10_000
 
 
 def _normalised(line: Column) -> Column:
     return F.trim(F.regexp_replace(F.lower(line), WORD_SPLIT, " "))
 
 
+def _twice(*columns: Column) -> Column:
+    """Two hashes, 128 bits together, so that no two windows of a very large corpus meet by chance."""
+    return F.struct(F.xxhash64(*columns).alias("a"), F.xxhash64(F.lit("second"), *columns).alias("b"))
+
+
 def windows(docs: DataFrame, size: int = LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, place (of the window's first line among the lines with a word, from 0) and hash of each window."""
+    """doc_id, text_hash, place (of the window's first line among the lines with a word, from 0) and hash of each window."""
     lines = F.filter(F.transform(F.split(text_col, "\n"), _normalised), lambda x: x != "")
-    hashed = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.transform(lines, lambda x: F.xxhash64(x)).alias("h"))
+    hashed = docs.where(F.col(text_col).isNotNull()).select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(text_col).alias("text_hash"), F.transform(lines, lambda x: _twice(x)).alias("h"))
     rows = hashed.where(F.size("h") >= size)
-    made = F.transform(F.sequence(F.lit(1), F.size("h") - (size - 1)), lambda i: F.xxhash64(*(F.element_at("h", i + j) for j in range(size))))
-    return rows.select("doc_id", F.posexplode(made).alias("place", "hash"))
+    made = F.transform(F.sequence(F.lit(1), F.size("h") - (size - 1)), lambda i: _twice(*(F.element_at("h", i + j)[x] for j in range(size) for x in "ab")))
+    return rows.select("doc_id", "text_hash", F.posexplode(made).alias("place", "hash"))
 
 
 def repeats(docs: DataFrame, size: int = LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id and removed: the sorted places of its windows that stand earlier in the corpus."""
-    every = windows(docs, size, id_col, text_col)
-    first = every.groupBy("hash").agg(F.count("*").alias("n"), F.min(F.struct("doc_id", "place")).alias("first")).where("n > 1").select("hash", "first")
-    later = every.join(first, "hash").where(F.struct("doc_id", "place") > F.col("first"))
-    return later.groupBy("doc_id").agg(F.array_sort(F.collect_set("place")).alias("removed"))
+    """doc_id, text_hash and removed: the sorted places of its windows that stand earlier in the corpus."""
+    every = cut(windows(docs, size, id_col, text_col))
+    at = F.struct("doc_id", "text_hash", "place")
+    first = cut(every.groupBy("hash").agg(F.count("*").alias("n"), F.min(at).alias("first")).where("n > 1"))
+    # windows of over 1/HOT of all repeated ones, fewer than HOT, go to every task; of the others none is a hot key
+    least = (first.agg(F.sum("n")).first()[0] or 0) / HOT
+    marked = every.join(F.broadcast(first.where(F.col("n") > least).select("hash", F.col("first").alias("hot"))), "hash", "left")
+    rest = marked.where("hot is null").join(first.where(F.col("n") <= least).select("hash", "first"), "hash")
+    both = marked.where("hot is not null").select("doc_id", "text_hash", "place", F.col("hot").alias("first")).union(rest.select("doc_id", "text_hash", "place", "first"))
+    return both.where(at > F.col("first")).groupBy("doc_id", "text_hash").agg(F.array_sort(F.collect_set("place")).alias("removed"))
 
 
 def without(text: str, removed: list[int], size: int = LINES) -> tuple[str, int]:
@@ -56,16 +68,19 @@ def _take_out(text: pd.Series, removed: pd.Series, size: pd.Series) -> pd.DataFr
 
 
 def dedup(docs: DataFrame, size: int = LINES, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """All columns of docs with repeated passages taken out of the text, and n_removed_lines.
+    """All columns of docs with repeated passages taken out of the text, and n_removed_lines, which replaces a column of that name.
 
-    A null text stays null; one with fewer lines than a window stays as it is; a text all of whose lines repeat becomes
-    empty. Rows that repeat an id share its removed places. Every row of docs is kept.
+    A document is an id and a text, in order of id, rows without an id first, and then of the text's hash: different texts under one id are
+    compared like others, and rows that repeat both are one document and stay, with one result. A null text stays null; one with
+    fewer lines than a window, an empty one among them, stays as it is; a text all of whose lines repeat becomes empty. Long texts are read whole. Every row of docs is kept,
+    other columns have any names and are not touched, and an empty table stays empty.
     """
-    gone = repeats(docs, size, id_col, text_col).select(F.col("doc_id").alias("_id"), "removed")
-    joined = docs.join(gone, F.col(id_col).cast("long") == F.col("_id"), "left").drop("_id")
-    done = joined.withColumn("_done", F.pandas_udf(_take_out, "text string, n long")(F.when(F.col("removed").isNotNull(), F.col(text_col)), F.col("removed"), F.lit(size)))
-    text = F.when(F.col("removed").isNull(), F.col(text_col)).otherwise(F.col("_done")["text"])
-    return done.withColumns({text_col: text, "n_removed_lines": F.coalesce(F.col("_done")["n"], F.lit(0)).cast("long")}).drop("removed", "_done")
+    ident, same, places, done = unused(docs, "_id", "_hash", "_removed", "_done")
+    gone = repeats(docs, size, id_col, text_col).select(F.col("doc_id").alias(ident), F.col("text_hash").alias(same), F.col("removed").alias(places))
+    joined = docs.join(gone, F.col(id_col).cast("long").eqNullSafe(F.col(ident)) & (F.xxhash64(text_col) == F.col(same)), "left").drop(ident, same)
+    made = joined.withColumn(done, F.pandas_udf(_take_out, "text string, n long")(F.when(F.col(places).isNotNull(), F.col(text_col)), F.col(places), F.lit(size)))
+    text = F.when(F.col(places).isNull(), F.col(text_col)).otherwise(F.col(done)["text"])
+    return made.withColumns({text_col: text, "n_removed_lines": F.coalesce(F.col(done)["n"], F.lit(0)).cast("long")}).drop(places, done)
 
 
 #: The same in DuckDB over table documents: doc_id, kept_text and n_removed_lines.

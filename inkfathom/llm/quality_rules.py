@@ -12,7 +12,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from inkfathom.llm.common import WORD_SPLIT
+from inkfathom.llm.common import WORD_SPLIT, cut
 
 LEAST_WORDS = 20
 WINDOW = 8
@@ -22,6 +22,8 @@ LINE_DOCUMENTS = 50
 LINE_PART = 0.005
 #: A document is depleted if a smaller part of its words than this is left.
 LEFT_PART = 0.3
+#: Frequent lines with more than this part of all their occurrences are joined by broadcast: fewer than so many.
+HOT = 10_000
 
 
 def let(value: Column, body: Callable[[Column], Column]) -> Column:
@@ -62,42 +64,52 @@ def normalised(line: Column) -> Column:
     return F.array_join(split_words(F.lower(line)), " ")
 
 
+def line_key(line: Column) -> Column:
+    """Two hashes of a normalised line, 128 bits together, so that no two lines of a very large corpus meet by chance."""
+    return let(normalised(line), lambda x: F.struct(F.xxhash64(x).alias("a"), F.xxhash64(F.lit("second"), x).alias("b")))
+
+
 def base_metrics(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
-    """A row for each document, with a row number of its own (_row), since ids may repeat."""
+    """A row for each row of docs: its id, a row number, the host's hash, the base counts, and key and words of each line with a word."""
     text = F.coalesce(F.col(text_col), F.lit(""))
-    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(host_col).cast("string").alias("_host"), text.alias("_text"))
+    rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.xxhash64(F.col(host_col).cast("string")).alias("host"), text.alias("_text"))
     split = rows.withColumns({"_words": split_words(F.col("_text")), "_lines": lines_with_words(F.col("_text"))})
     words, lines = F.col("_words"), F.col("_lines")
     return split.select(
-        "doc_id", "_host", "_lines",
+        "doc_id", F.monotonically_increasing_id().alias("row"), "host",
         F.size(words).cast("long").alias("n_words"),
         F.length(F.array_join(words, "")).cast("long").alias("word_chars"),
         (F.length("_text") - F.length(F.translate("_text", "#*$%&|<>", ""))).cast("long").alias("n_symbols"),
         (F.size(lines) - F.size(F.array_distinct(lines))).cast("long").alias("n_dup_lines"),
         repeat_words(words).alias("n_repeat_words"),
+        F.transform(lines, lambda x: F.struct(line_key(x).alias("line"), F.size(split_words(x)).alias("words"))).alias("lines"),
     )
 
 
-def line_rows(metrics: DataFrame) -> DataFrame:
-    """doc_id, host, line hash and the words of all such lines in the document: one row for each different line of a document."""
-    one = F.explode(F.transform("_lines", lambda x: F.struct(F.xxhash64(normalised(x)).alias("line"), F.size(split_words(x)).alias("words")))).alias("x")
-    return metrics.select("doc_id", F.xxhash64("_host").alias("host"), one).select("doc_id", "host", "x.line", "x.words")
-
-
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", host_col: str = "source") -> DataFrame:
     """doc_id, the base counts, base_failed, n_frequent_words (words of lines above the limit), left_part and kept.
 
-    A null text is empty and fails. A null host is a host of its own. Rows that repeat an id count as one document with all
-    their lines, and each gets its own base counts. Empty tables give no rows; other columns are not read.
+    Texts are read once, whole; what follows works on a table of the counts and line hashes. A null text is empty and fails. A null host is a host of its own.
+    Rows that repeat an id are one document where documents are counted, with or without the same text, and each has its own words,
+    lost words and verdict; a row without an id is a document of its own. Empty tables give no rows; other columns are not read,
+    so their names do not matter.
     """
-    metrics = base_metrics(docs, id_col, text_col, host_col)
-    lines = line_rows(metrics)
-    hosts = docs.groupBy(F.xxhash64(F.col(host_col).cast("string")).alias("host")).agg(F.count("*").alias("documents"))
-    once = lines.groupBy("host", "line", "doc_id").agg(F.sum("words").alias("words"))
-    counts = once.groupBy("host", "line").agg(F.count("*").alias("n")).where(F.col("n") >= LINE_DOCUMENTS)
-    above = counts.join(hosts, "host").where(F.col("n") >= F.col("documents") * LINE_PART).select("host", "line")
-    lost = once.join(above, ["host", "line"]).groupBy(F.col("doc_id").alias("_id")).agg(F.sum("words").cast("long").alias("lost"))
-    joined = metrics.drop("_lines", "_host").join(lost, F.col("doc_id").eqNullSafe(F.col("_id")), "left").drop("_id")
+    metrics = cut(base_metrics(docs, id_col, text_col, host_col))
+    own_id = F.when(F.col("doc_id").isNull(), F.col("row"))  # with doc_id: a document
+    lines = metrics.select("doc_id", own_id.alias("own"), "row", "host", F.explode("lines").alias("x")).select("doc_id", "own", "row", "host", "x.line", "x.words")
+    once = lines.groupBy("host", "line", "row").agg(F.any_value("doc_id").alias("doc_id"), F.any_value("own").alias("own"), F.sum("words").alias("words"))
+    hosts = metrics.groupBy("host", "doc_id", own_id.alias("own")).agg(F.lit(1)).groupBy("host").agg(F.count("*").alias("documents"))
+    per_line = once.groupBy("host", "line", "doc_id", "own").agg(F.count("*").alias("times"))
+    counts = per_line.groupBy("host", "line").agg(F.count("*").alias("n"), F.sum("times").alias("times")).where(F.col("n") >= LINE_DOCUMENTS)
+    above = cut(counts.join(hosts, "host").where(F.col("n") >= F.col("documents") * LINE_PART).select("host", "line", "times"))
+    # lines of over 1/HOT of all rows, fewer than HOT, go to every task; of the others none is a hot key
+    least = (above.agg(F.sum("times")).first()[0] or 0) / HOT
+    often = F.broadcast(above.where(F.col("times") > least).select("host", "line", F.lit(True).alias("hot")))
+    marked = once.join(often, ["host", "line"], "left").select("row", "host", "line", "words", "hot")
+    rare = above.where(F.col("times") <= least).select("host", "line")
+    found = marked.where("hot").select("row", "words").union(marked.where("hot is null").join(rare, ["host", "line"]).select("row", "words"))
+    lost = found.groupBy("row").agg(F.sum("words").cast("long").alias("lost"))
+    joined = metrics.drop("lines", "host").join(lost, "row", "left")
     failed = (F.col("n_words") < LEAST_WORDS) | (100 * F.col("n_repeat_words") > REPEATED_PER_CENT * F.col("n_words"))
     left = F.when(F.col("n_words") > 0, 1 - F.coalesce("lost", F.lit(0)) / F.col("n_words")).otherwise(0.0)
     return joined.select(

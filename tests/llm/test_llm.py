@@ -13,6 +13,7 @@ import numpy as np
 import public_tokenizers
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 
 from inkfathom.llm import common, context_mixing, language, line_dedup, packing, progressive_jpeg, quality_classifier, quality_rules, secrets, sentencepiece_bpe, simhash
 from inkfathom.llm.queries import BYTE_BPE, PIECE_BPE
@@ -62,9 +63,34 @@ def test_quality_rules(spark, odd, empty, docs):
     assert quality_rules.score(spark.createDataFrame([(0, " ".join(w), "en", "h", 0, "", "")], SCHEMA)).first().n_repeat_words == want
 
 
+def brute_frequent(rows, least):
+    """n_frequent_words by row, of (id, host, text), where a line in least documents or more is frequent."""
+    lines = [[" ".join(x.lower().split()) for x in (t or "").split("\n") if x.split()] for *_, t in rows]
+    holders = {}
+    for k, ((i, h, _), own) in enumerate(zip(rows, lines)):
+        for line in own:
+            holders.setdefault((h, line), set()).add(("row", k) if i is None else i)
+    return [sum(len(x.split()) for x in own if len(holders[h, x]) >= least) for (i, h, _), own in zip(rows, lines)]
+
+
+def test_quality_rules_over_repeated_rows(spark):
+    """Rows that repeat an id count once as a document, and each loses its own words."""
+    rng = random.Random(7)
+    common_lines = [" ".join(f"c{k}w{j}" for j in range(1 + k)) for k in range(4)]
+    rows = []
+    for i in range(150):
+        own = rng.sample(common_lines, rng.randint(0, 4)) + [f"own {i} {k} " + "abc def ghi " * 3 for k in range(3)]
+        rows += [(None if i % 40 == 0 else i, "h" if i % 3 else None, "\n".join(own))] * rng.choice([1, 1, 1, 3])
+    rows += [(1000, "h", "only once but often")] * 60
+    frame = spark.createDataFrame(rows, "doc_id long, source string, text string").withColumns({"row": F.lit(1), "_text": F.lit("x"), "host": F.lit("y"), "lost": F.lit(2)})
+    got = Counter((r.doc_id, r.n_words, r.n_frequent_words) for r in quality_rules.score(frame).collect())
+    assert got == Counter((i, len(t.split()), n) for (i, _, t), n in zip(rows, brute_frequent(rows, 50)))
+    assert any(n for *_, n in got) and got[1000, 4, 0] == 60
+
+
 def brute_lines(rows):
     seen, out = set(), {}
-    for i, text in sorted(rows):
+    for i, text in sorted(rows, key=lambda x: (x[0], xxhash.xxh64_intdigest(x[1].encode(), 42) + (1 << 63) & (1 << 64) - 1) if x[1] is not None else (x[0], -1)):
         lines = [x for x in (re.sub(r"[\x20\x09-\x0D]+", " ", y.lower()).strip(" ") for y in (text or "").split("\n")) if x]
         gone = []
         for k in range(len(lines) - 2):
@@ -72,16 +98,26 @@ def brute_lines(rows):
             if w in seen:
                 gone.append(k)
             seen.add(w)
-        out[i] = line_dedup.without(text, gone) if text is not None else (None, 0)
+        out[i, text] = line_dedup.without(text, gone) if text is not None else (None, 0)
     return out
 
 
-def test_line_dedup(odd, empty, docs):
+def test_line_dedup(spark, odd, empty, docs):
     for frame in (docs, odd.dropDuplicates(["doc_id"])):
-        want = brute_lines([(r.doc_id, r.text) for r in frame.collect()])
-        assert {r.doc_id: (r.text, r.n_removed_lines) for r in line_dedup.dedup(frame).collect()} == want
+        want = brute_lines({(r.doc_id, r.text) for r in frame.collect()})
+        assert Counter((r.doc_id, r.text, r.n_removed_lines) for r in line_dedup.dedup(frame).collect()) == Counter((r.doc_id, *want[r.doc_id, r.text]) for r in frame.collect())
     assert line_dedup.dedup(odd).count() == len(ODD) and line_dedup.dedup(empty).count() == 0
     assert set(line_dedup.dedup(odd).columns) == {*odd.columns, "n_removed_lines"}
+    # repeated rows, several texts under one id, and columns with the names that are used inside
+    rng = random.Random(9)
+    made = ["\n".join(rng.choice(["a b", "C d", "e", "f  g", "h", ""]) for _ in range(rng.randint(0, 12))) for _ in range(40)]
+    rows = [(rng.randint(0, 9), rng.choice(made)) for _ in range(120)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string").withColumns({n: F.lit(n) for n in ("removed", "_removed", "_id", "_done", "hash", "n", "text_hash", "place", "n_removed_lines")})
+    want, got = brute_lines(set(rows)), line_dedup.dedup(frame)
+    assert Counter((r.doc_id, r.text, r.n_removed_lines) for r in got.collect()) == Counter((i, *want[i, t]) for i, t in rows) and got.columns == frame.columns
+    assert {r._removed for r in got.collect()} == {"_removed"}
+    alone = line_dedup.dedup(spark.createDataFrame([(None, "p\nq\nr"), (3, "p\nq\nr\ns")], "doc_id long, text string")).collect()
+    assert {(r.doc_id, r.text) for r in alone} == {(None, "p\nq\nr"), (3, "s")}
 
 
 def test_secrets_base_and_method(spark, odd, empty):
@@ -478,7 +514,7 @@ def test_pipeline(spark):
     assert good.columns == docs.columns and sum((d in kept) == (q == 1) for d, q in labels.items()) / len(labels) > 0.95
     lines = corpus_pipeline.lines(spark, good, sf).cache()
     want = brute_lines([(r.doc_id, r.text) for r in good.collect()])
-    assert {r.doc_id: r.text for r in lines.collect()} == {d: t for d, (t, _) in want.items()} and lines.columns == docs.columns
+    assert {r.doc_id: r.text for r in lines.collect()} == {d: t for (d, _), (t, _) in want.items()} and lines.columns == docs.columns
     once = corpus_pipeline.near_duplicates(spark, lines, sf).cache()
     fps = [(r.doc_id, simhash.fingerprint(r.text)) for r in lines.collect()]
     assert {r.doc_id for r in once.collect()} == {c for _, c in brute_components(fps)} and once.columns == docs.columns
