@@ -7,6 +7,7 @@ import re
 import urllib.error
 import urllib.request
 from collections.abc import Iterator
+from functools import lru_cache
 from typing import Protocol
 
 import numpy as np
@@ -43,6 +44,14 @@ def normalise(vector) -> np.ndarray:
     return v / norm
 
 
+@lru_cache(1 << 18)
+def word_hash(word: str) -> int:
+    h = OFFSET
+    for byte in word.encode():
+        h = (h ^ byte) * PRIME & MASK
+    return h
+
+
 class HashingProvider:
     """Bag of words by 64-bit hash: deterministic, needs no model. Words are runs of letters and digits, three or longer."""
 
@@ -53,10 +62,7 @@ class HashingProvider:
         out = np.zeros(self.dim)
         for word in re.findall(r"[^\W_]+", text):
             if len(word) > 2:
-                h = OFFSET
-                for byte in word.lower().encode():
-                    h = (h ^ byte) * PRIME & MASK
-                out[h % self.dim] += 1
+                out[word_hash(word.lower()) % self.dim] += 1
         out[0] += 0.01
         return out
 

@@ -1,7 +1,7 @@
 """Exact cosine search: candidates by score, a threshold, a rerank by quoted phrases, and the top of that.
 
-Two physical forms: expr, the array functions of Spark, and matmul, blocks of one numpy product for each Arrow batch that keep
-the best of each query and batch, so that what is shuffled is queries times batches times k and never all pairs.
+Two physical forms: matmul, one numpy product for each Arrow batch and block of queries that keeps the best of each query and batch, so that
+what is shuffled is queries times batches times k and never all pairs; and expr, the array functions of Spark, for a few queries.
 """
 
 from __future__ import annotations
@@ -10,14 +10,16 @@ import re
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_schema
 
 from inkfathom.functions.embed import dot
 from inkfathom.schemas import DEFAULTS
 
-#: Queries that go to each task; more are done in turns of as many.
+#: Queries that a task holds at once; more are done in turns of as many within one pass.
 BLOCK = 1024
 
 
@@ -40,42 +42,71 @@ def phrases(query: str, straight_quotes: bool = False) -> list[str]:
     return [p.lower() for p in found if len(p.split()) > 1]
 
 
-def candidates(queries: DataFrame, chunks: DataFrame, k: int, order: list[str], method: str = "expr") -> DataFrame:
-    """For each query (qid, query_vector) the k best chunks (columns order and vector) with score and rank; ties by order."""
-    if method == "expr":
-        pairs = chunks.crossJoin(F.broadcast(queries)) if queries.limit(BLOCK + 1).count() <= BLOCK else chunks.crossJoin(queries)
+def candidates(queries: DataFrame, chunks: DataFrame, k: int, order: list[str], method: str = "matmul") -> DataFrame:
+    """For each query (qid, query_vector) the k best chunks (columns order and vector) with score and rank; ties by order.
+
+    A chunk or a query without a vector has no candidates; scores are over the shorter length; one that is not a number comes first. The
+    form expr is for BLOCK queries at most, which it broadcasts; more go the other way.
+    """
+    chunks, queries = chunks.where("vector is not null"), queries.where("query_vector is not null")
+    if method == "expr" and queries.limit(BLOCK + 1).count() <= BLOCK:
+        pairs = chunks.crossJoin(F.broadcast(queries))  # BLOCK rows at most
         scored = pairs.select("qid", *order, dot(F.col("query_vector"), F.col("vector")).alias("score"))
     else:
-        scored = None
-        rows = queries.count()
-        keyed = queries.withColumn("_block", F.pmod(F.xxhash64("qid"), F.lit(-(-rows // BLOCK) or 1)))
-        for block in range(-(-rows // BLOCK)):
-            got = keyed.where(F.col("_block") == block).select("qid", "query_vector").collect()  # about BLOCK queries
-            part = _matmul(chunks, [r.qid for r in got], [r.query_vector for r in got], k, order, dict(queries.dtypes)["qid"])
-            scored = part if scored is None else scored.union(part)
-        if scored is None:
-            return candidates(queries, chunks, k, order)
+        scored = _matmul(chunks, queries, k, order)
     best = Window.partitionBy("qid").orderBy(F.desc("score"), *order)
     return scored.withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= k)
 
 
-def _matmul(chunks: DataFrame, qids: list, vectors: list, k: int, order: list[str], kind: str) -> DataFrame:
-    table = np.array(vectors, np.float64).reshape(len(qids), -1)
+def _blocks(queries: DataFrame) -> list:
+    """Broadcast blocks of at most BLOCK queries each, made one after the other; a worker holds one at a time."""
+    made, ids, vectors = [], [], []
+    for row in queries.select("qid", "query_vector").toLocalIterator():
+        ids.append(row.qid)
+        vectors.append(row.query_vector)
+        if len(ids) == BLOCK:
+            made.append(queries.sparkSession.sparkContext.broadcast((ids, vectors)))
+            ids, vectors = [], []
+    return [*made, *([queries.sparkSession.sparkContext.broadcast((ids, vectors))] if ids else [])]
+
+
+def _products(a: list, b: list) -> np.ndarray:
+    """Products of all of a with all of b, over the shorter length of each pair."""
+    out = np.empty((len(a), len(b)))
+    sizes = [np.array([len(x) for x in y]) for y in (a, b)]
+    for n in np.unique(sizes[0]):
+        for m in np.unique(sizes[1]):
+            own, other = np.flatnonzero(sizes[0] == n), np.flatnonzero(sizes[1] == m)
+            left, right = (np.array([y[i][: min(n, m)] for i in at], np.float64).reshape(len(at), -1) for y, at in ((a, own), (b, other)))
+            out[np.ix_(own, other)] = left @ right.T
+    return out
 
-    def score(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
-        for part in batches:
-            if not len(part) or not qids:
-                continue
-            part = part.sort_values(order, kind="stable").reset_index(drop=True)
-            s = table @ np.array(part["vector"].tolist(), np.float64).T
-            best = np.argsort(-s, axis=1, kind="stable")[:, :k]
-            out = part[order].iloc[best.ravel()].reset_index(drop=True)
-            out.insert(0, "qid", np.repeat(qids, best.shape[1]))
-            out["score"] = np.take_along_axis(s, best, axis=1).ravel()
-            yield out
+
+def _matmul(chunks: DataFrame, queries: DataFrame, k: int, order: list[str]) -> DataFrame:
+    """One pass over the chunks; each batch meets all blocks of queries and keeps its k best of each query."""
+    blocks = _blocks(queries)
 
     kinds = dict(chunks.dtypes)
-    return chunks.select(*order, "vector").mapInPandas(score, f"qid {kind}, " + ", ".join(f"{c} {kinds[c]}" for c in order) + ", score double")
+    schema = T._parse_datatype_string(f"qid {dict(queries.dtypes)['qid']}, " + ", ".join(f"{c} {kinds[c]}" for c in order) + ", score double")
+    shape = to_arrow_schema(schema)
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            if not batch.num_rows:
+                continue
+            part = batch.sort_by([(c, "ascending") for c in order])
+            vectors = part.column("vector").to_pylist()
+            for block in blocks:
+                qids, table = block.value
+                s = _products(table, vectors)
+                best = np.argsort(-np.where(np.isnan(s), np.inf, s), axis=1, kind="stable")[:, :k]
+                own = part.select(order).take(pa.array(best.ravel()))
+                values = [np.repeat(np.array(qids, object), best.shape[1]).tolist(), *own.columns, np.take_along_axis(s, best, axis=1).ravel()]
+                yield pa.RecordBatch.from_arrays([pa.array(v, f.type) if not isinstance(v, pa.Array) else v.cast(f.type) for v, f in zip(values, shape)], schema=shape)
+                if len(blocks) > 1:
+                    del block._value  # read again for the next batch
+
+    return chunks.select(*order, "vector").mapInArrow(score, schema)
 
 
 def finish(found: DataFrame, order: list[str], top_k: int, threshold: float | None = None, rerank: bool = True) -> DataFrame:
@@ -87,7 +118,7 @@ def finish(found: DataFrame, order: list[str], top_k: int, threshold: float | No
     return scored.withColumn("rank", F.row_number().over(last)).where(F.col("rank") <= top_k)
 
 
-def retrieve(queries: DataFrame, chunks: DataFrame, *, top_k: int = DEFAULTS.top_k, candidate_top_k: int = DEFAULTS.candidate_top_k, threshold: float | None = None, rerank: bool = True, order: tuple[str, ...] = ("source", "ordinal"), method: str = "expr") -> DataFrame:
+def retrieve(queries: DataFrame, chunks: DataFrame, *, top_k: int = DEFAULTS.top_k, candidate_top_k: int = DEFAULTS.candidate_top_k, threshold: float | None = None, rerank: bool = True, order: tuple[str, ...] = ("source", "ordinal"), method: str = "matmul") -> DataFrame:
     """Results of queries (qid, query_vector and perhaps phrases). Text is fetched for candidates only."""
     validate(top_k, candidate_top_k, threshold)
     order = list(order)
@@ -123,12 +154,12 @@ def guard_model(build: dict, vectors: DataFrame, model: str, dim: int) -> None:
         raise ValueError(f"{bad[0].chunk_id} has a vector of another model or dimension")
 
 
-def clean_rewrite(said: str, labels: tuple[str, ...] = ("query:", "search query:", "rewritten query:", "запрос:")) -> str:
-    """The first line that is not blank, without back quotes and leading labels, 512 characters at most."""
+def clean_rewrite(said: str, label: str = "Запрос:") -> str:
+    """The first line that is not blank, without back quotes and the label before it, 512 characters at most."""
     line = next((x.strip() for x in said.splitlines() if x.strip()), "").strip("`").strip()
-    while label := next((x for x in labels if line.lower().startswith(x)), None):
-        line = line[len(label) :].strip()
-    if not line:
+    while line.startswith(label):
+        line = line.removeprefix(label)
+    if not (line := line.strip()):
         raise ValueError("the rewrite is empty")
     return line[:512]
 

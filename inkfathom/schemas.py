@@ -4,15 +4,11 @@ from __future__ import annotations
 
 from dataclasses import dataclass
 
-PARAGRAPHS = "array<struct<text:string,heading:tinyint>>"
 CHUNKS = (
     "chunk_id string, strategy string, source string, title string, section string, ordinal long, char_start long, char_end long, "
     "text string, crosses_section boolean, cut_mid_sentence boolean"
 )
 EMBEDDINGS = "chunk_id string, strategy string, model string, dim int, vector array<float>"
-BUILDS = "strategy string, model string, dim int, files long, chars long, chunks long, embed_ms long, params string, built_at timestamp"
-QUESTIONS = "qid int, question string, expected array<string>, source string"
-HITS = "chunk_id string, source string, section string, score double, text string"
 
 #: White space as Unicode has it, for regular expressions of Java and Python alike.
 WHITE = "\t-\r \u0085   -     　"

@@ -3,12 +3,14 @@
 from __future__ import annotations
 
 import argparse
+import inspect
 import json
 import sys
 import time
 from dataclasses import dataclass
 
 import numpy as np
+from pyspark import StorageLevel
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -38,36 +40,52 @@ class Engine:
     def store(self) -> Store:
         return Store(self.spark, self.root)
 
-    def build(self, corpus: str | DataFrame, strategy: str = "all", *, chunk_size=DEFAULTS.chunk_size, overlap=DEFAULTS.overlap, max_section=DEFAULTS.max_section, min_section=DEFAULTS.min_section, unit: str = "chars", units=None, batch: int = DEFAULTS.batch, num_ctx: int = DEFAULTS.num_ctx, min_chars: int = DEFAULTS.min_chars) -> list[dict]:
+    def provider_for(self, model: str | None = None, dim: int | None = None, num_ctx: int | None = None) -> Provider:
+        """The engine's provider, or one like it for another model or length; the length of another model is asked of the server."""
+        own = self.provider
+        if model in (None, own.model) and dim in (None, own.dim) and num_ctx in (None, getattr(own, "num_ctx", None)):
+            return own
+        if not isinstance(own, HttpProvider):
+            return HashingProvider(dim or own.dim, model or own.model)
+        made = HttpProvider(own.url, model or own.model, dim or own.dim, num_ctx or own.num_ctx, own.opener)
+        if dim is None and made.model != own.model:
+            made.dim = self.server.dim(made.model, lambda text: made.embed([text])[0])
+        return made
+
+    def build(self, input: str | DataFrame, strategy: str = "all", *, chunk_size=DEFAULTS.chunk_size, overlap=DEFAULTS.overlap, max_section=DEFAULTS.max_section, min_section=DEFAULTS.min_section, unit: str = "chars", units=None, min_chars: int = DEFAULTS.min_chars, model: str | None = None, num_ctx: int = DEFAULTS.num_ctx, batch: int = DEFAULTS.batch, dim: int | None = None) -> list[dict]:
         """Chunks, embeds and replaces each strategy in turn; sizes are checked before the corpus, the corpus before the model."""
+        provider = self.provider_for(model, dim, num_ctx)
         if units is None:
-            units = Chars() if unit == "chars" else self.server.word_pieces(self.provider.model)
+            units = Chars() if unit == "chars" else self.server.word_pieces(provider.model)
         check_budget(units, [chunk_size, max_section], self.document_prefix, num_ctx)
         chunkers = chunking.select(strategy, chunk_size=chunk_size, overlap=overlap, max_section=max_section, min_section=min_section, units=units)
-        docs = read_folder(self.spark, corpus, min_chars) if isinstance(corpus, str) else corpus
-        if not isinstance(corpus, str):
+        docs = (read_folder(self.spark, input, None) if isinstance(input, str) else input).persist(StorageLevel.DISK_ONLY)  # parsed once
+        try:
             check_corpus(docs, min_chars)
+            return [self._built(docs, chunker, provider, batch) for chunker in chunkers]
+        finally:
+            docs.unpersist()
+
+    def _built(self, docs: DataFrame, chunker, provider: Provider, batch: int) -> dict:
         size = docs.agg(F.count("*").alias("files"), F.coalesce(F.sum(char_len(F.col("paragraphs"))), F.lit(0)).alias("chars")).first()
-        done = []
-        for chunker in chunkers:
-            chunks = chunking.chunk_rows(docs, chunker).cache()
-            try:
-                n = chunks.count()
-                began = time.perf_counter()
-                vectors = embed_column(chunks, self.provider, "chunk_id", "text", batch, self.document_prefix).cache()
-                vectors.count()
-                ms = int(1000 * (time.perf_counter() - began))
-                build = {"strategy": chunker.name, "model": self.provider.model, "dim": self.provider.dim, "files": size.files, "chars": size.chars, "chunks": n, "embed_ms": ms, "params": chunker.params()}
-                self.store.replace(build, chunks, vectors.select("chunk_id", F.lit(self.provider.model).alias("model"), F.lit(self.provider.dim).alias("dim"), "vector"))
-                done.append(build)
-                vectors.unpersist()
-            finally:
-                chunks.unpersist()
-        return done
-
-    def search(self, query: str, strategy: str | None = None, *, top_k: int = DEFAULTS.top_k, candidate_top_k: int = DEFAULTS.candidate_top_k, threshold: float | None = None, rewrite: bool = False, rerank: bool = True, straight_quotes: bool = False) -> dict:
+        chunks = chunking.chunk_rows(docs, chunker).persist(StorageLevel.DISK_ONLY)
+        vectors = embed_column(chunks, provider, "chunk_id", "text", batch, self.document_prefix).persist(StorageLevel.DISK_ONLY)
+        try:
+            n = chunks.count()
+            began = time.perf_counter()
+            vectors.count()
+            ms = int(1000 * (time.perf_counter() - began))
+            build = {"strategy": chunker.name, "model": provider.model, "dim": provider.dim, "files": size.files, "chars": size.chars, "chunks": n, "embed_ms": ms, "params": chunker.params()}
+            self.store.replace(build, chunks, vectors.select("chunk_id", F.lit(provider.model).alias("model"), F.lit(provider.dim).alias("dim"), "vector"))
+            return build
+        finally:
+            vectors.unpersist()
+            chunks.unpersist()
+
+    def search(self, query: str, strategy: str | None = None, *, top_k: int = DEFAULTS.top_k, candidate_top_k: int = DEFAULTS.candidate_top_k, similarity_threshold: float | None = None, rewrite: bool = False, rerank: bool = True, straight_quotes: bool = False) -> dict:
         if not query.strip():
             raise ValueError("the query is empty")
+        threshold = similarity_threshold
         search.validate(top_k, candidate_top_k, threshold)
         if not self.store.exists():
             raise FileNotFoundError(f"no index at {self.root}")
@@ -103,20 +121,22 @@ class Engine:
     def models(self) -> list[dict]:
         return [r.asDict() for r in self.server.embedding_models(self.spark).collect()]
 
-    def compare(self, questions_path: str, out: str | None = None, *, top_k: int = DEFAULTS.top_k, candidate_top_k: int = DEFAULTS.candidate_top_k, threshold: float | None = None) -> dict:
+    def compare(self, questions: str, out: str | None = None, *, top_k: int = DEFAULTS.top_k, candidate_top_k: int = DEFAULTS.candidate_top_k, similarity_threshold: float | None = None, rewrite_model: str | None = None) -> dict:
         """Every strategy in all modes in one plan: (strategy, mode, question) with chunks, to ranks and figures."""
-        threshold = DEFAULTS.threshold if threshold is None else threshold
+        threshold = DEFAULTS.threshold if similarity_threshold is None else similarity_threshold
         search.validate(top_k, candidate_top_k, threshold)
         builds = self.store.builds()
         if not builds:
             raise ValueError("the index has no builds")
+        provider = self.provider_for(dim=builds[0]["dim"])
         for b in builds:
-            search.guard_model(b, self.store.embeddings(b["strategy"]), self.provider.model, self.provider.dim)
-        questions = load_questions(self.spark, questions_path)
+            search.guard_model(b, self.store.embeddings(b["strategy"]), provider.model, provider.dim)
+        questions = load_questions(self.spark, questions)
+        rewriter = self.rewriter if rewrite_model is None else lambda text: self.server.rewrite(rewrite_model, REWRITE, text)
         asked = questions.orderBy("qid").collect()
         texts = [q.question for q in asked]
-        new = [search.rewritten(t, self.rewriter) for t in texts]
-        vectors = embed_texts(self.provider, texts, prefix=self.query_prefix), embed_texts(self.provider, [t for t, _ in new], prefix=self.query_prefix)
+        new = [search.rewritten(t, rewriter) for t in texts]
+        vectors = embed_texts(provider, texts, prefix=self.query_prefix), embed_texts(provider, [t for t, _ in new], prefix=self.query_prefix)
         chunks = self.store.chunks().join(self.store.embeddings().select("chunk_id", "vector"), "chunk_id").cache()
         try:
             result = self._compare(builds, questions, asked, vectors, [texts, [t for t, _ in new]], chunks, top_k, candidate_top_k, threshold)
@@ -171,6 +191,19 @@ class Engine:
 TOOLS = {"index_search": Engine.search, "index_status": Engine.status, "index_models": Engine.models, "index_build": Engine.build, "index_compare": Engine.compare}
 
 
+def schema_of(tool) -> dict:
+    """JSON schema of a tool's arguments, by its signature."""
+    kinds = {"str": "string", "int": "integer", "float": "number", "bool": "boolean"}
+    found = {n: p for n, p in inspect.signature(tool).parameters.items() if n not in ("self", "units", "straight_quotes")}
+    named = {n: next((k for k in kinds if k in str(p.annotation)), None) or kinds_of(p.default) for n, p in found.items()}
+    properties = {n: {"type": kinds.get(k, k)} | ({"default": found[n].default} if found[n].default not in (inspect.Parameter.empty, None) else {}) for n, k in named.items()}
+    return {"type": "object", "properties": properties, "required": [n for n, p in found.items() if p.default is inspect.Parameter.empty]}
+
+
+def kinds_of(default) -> str:
+    return "integer" if isinstance(default, int) else "string"
+
+
 def plain(value):
     """What JSON can hold."""
     if isinstance(value, dict):
@@ -197,15 +230,19 @@ def serve(engine: Engine, lines=sys.stdin, out=sys.stdout) -> None:
     for line in lines:
         if not line.strip():
             continue
-        request = json.loads(line)
-        method, ident = request.get("method"), request.get("id")
+        try:
+            request = json.loads(line)
+            method, ident = request.get("method"), request.get("id")
+        except (ValueError, AttributeError) as e:
+            print(json.dumps({"jsonrpc": "2.0", "id": None, "error": {"code": -32700, "message": f"not a request: {e}"}}, ensure_ascii=False), file=out, flush=True)
+            continue
         if ident is None:
             continue
         if method == "initialize":
             answer = {"result": {"protocolVersion": request.get("params", {}).get("protocolVersion", "2025-03-26"), "capabilities": {"tools": {}}, "serverInfo": {"name": "inkfathom", "version": "0.1"}}}
         elif method == "tools/list":
-            answer = {"result": {"tools": [{"name": n, "description": (f.__doc__ or n).strip(), "inputSchema": {"type": "object"}} for n, f in TOOLS.items()]}}
-        elif method == "tools/call" and request["params"]["name"] in TOOLS:
+            answer = {"result": {"tools": [{"name": n, "description": (f.__doc__ or n).strip(), "inputSchema": schema_of(f)} for n, f in TOOLS.items()]}}
+        elif method == "tools/call" and (request.get("params") or {}).get("name") in TOOLS:
             done = call(engine, request["params"]["name"], request["params"].get("arguments") or {})
             answer = {"result": {"isError": done["is_error"], "content": [{"type": "text", "text": done["text"] if done["is_error"] else json.dumps(done["result"], ensure_ascii=False)}]}}
         else:
@@ -220,7 +257,8 @@ def parser() -> argparse.ArgumentParser:
     for name in ("build", "compare", "serve"):
         p = sub.add_parser(name)
         p.add_argument("--db", required=True)
-        p.add_argument("--url", default=d.url)
+        p.add_argument("--url", "--ollama-url", default=d.url)
+        p.add_argument("--batch", type=int, default=d.batch)
         p.add_argument("--model", default=d.model)
         p.add_argument("--dim", type=int, default=d.dim)
         p.add_argument("--num-ctx", type=int, default=d.num_ctx)
@@ -231,7 +269,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("docs")
             p.add_argument("--strategy", default="all")
             p.add_argument("--unit", choices=("chars", "tokens"), default="chars")
-            for flag in ("chunk_size", "overlap", "max_section", "min_section", "min_chars", "batch"):
+            for flag in ("chunk_size", "overlap", "max_section", "min_section", "min_chars"):
                 p.add_argument("--" + flag.replace("_", "-"), type=int, default=getattr(d, flag))
         if name == "compare":
             p.add_argument("questions")
@@ -239,6 +277,7 @@ def parser() -> argparse.ArgumentParser:
             p.add_argument("--top-k", type=int, default=d.top_k)
             p.add_argument("--candidate-top-k", type=int, default=d.candidate_top_k)
             p.add_argument("--similarity-threshold", type=float)
+        if name != "build":
             p.add_argument("--rewrite-model")
         if name == "serve":
             p.add_argument("--strategy")
@@ -261,7 +300,7 @@ def main(argv: list[str] | None = None) -> None:
         for b in engine.build(a.docs, a.strategy, chunk_size=a.chunk_size, overlap=a.overlap, max_section=a.max_section, min_section=a.min_section, unit=a.unit, batch=a.batch, num_ctx=a.num_ctx, min_chars=a.min_chars):
             print(f"{b['strategy']}: {b['files']} files, {b['chars']} characters, {b['chunks']} chunks, {report.embed_time(b['embed_ms'], b['chunks'])}")
     else:
-        print(engine.compare(a.questions, a.out, top_k=a.top_k, candidate_top_k=a.candidate_top_k, threshold=a.similarity_threshold)["report"])
+        print(engine.compare(a.questions, a.out, top_k=a.top_k, candidate_top_k=a.candidate_top_k, similarity_threshold=a.similarity_threshold)["report"])
 
 
 if __name__ == "__main__":

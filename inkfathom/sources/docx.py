@@ -209,14 +209,23 @@ def parse_column(files: DataFrame, path: str = "path", content: str = "content")
     return made.select("source", file_stem(F.col("source")).alias("stem"), F.coalesce("title", file_stem(F.col("source"))).alias("title"), "paragraphs")
 
 
-def read_folder(spark: SparkSession, root: str | Path, min_chars: int = DEFAULTS.min_chars) -> DataFrame:
-    """The checked corpus of a folder: some file, unique stems, at least min_chars characters."""
+def read_folder(spark: SparkSession, root: str | Path, min_chars: int | None = DEFAULTS.min_chars) -> DataFrame:
+    """The corpus of a folder: some file, and, but for min_chars None, unique stems and at least min_chars characters."""
     paths = collect(root)
     if not paths:
         raise ValueError(f"no .docx files in {root}")
-    files = spark.createDataFrame([(p, Path(p).read_bytes()) for p in paths], "path string, content binary") if any("/_" in p for p in paths) else spark.read.format("binaryFile").load(paths)
-    docs = parse_column(files.select(F.regexp_replace("path", "^file:/*", "/").alias("path"), "content"))
-    check_corpus(docs, min_chars)
+    hidden, shown = [p for p in paths if "/_" in p], [p for p in paths if "/_" not in p]  # Spark's reader passes over names that begin so
+
+    def opened(batches):
+        for part in batches:
+            yield pd.DataFrame({"path": part["path"], "content": [Path(p).read_bytes() for p in part["path"]]})
+
+    files = spark.createDataFrame([(p,) for p in hidden], "path string").mapInPandas(opened, "path string, content binary")
+    if shown:
+        files = files.union(spark.read.format("binaryFile").load(shown).select(F.regexp_replace("path", "^file:/*", "/"), "content"))
+    docs = parse_column(files)
+    if min_chars is not None:
+        check_corpus(docs, min_chars)
     return docs
 
 
@@ -225,9 +234,14 @@ def char_len(paragraphs):
     return F.aggregate(paragraphs, F.lit(0), lambda a, p: a + F.length(p["text"])) + F.greatest(n - 1, F.lit(0))
 
 
+def clashes(docs: DataFrame) -> DataFrame:
+    """stem and n of those that several files share."""
+    return docs.groupBy("stem").agg(F.count("*").alias("n")).where("n > 1")
+
+
 def check_corpus(docs: DataFrame, min_chars: int = DEFAULTS.min_chars) -> int:
     """Characters of the corpus; raises if stems clash or there are too few."""
-    clash = docs.groupBy("stem").count().where("count > 1").orderBy("stem").limit(5).collect()
+    clash = clashes(docs).orderBy("stem").limit(5).collect()
     if clash:
         raise ValueError("files share a name: " + ", ".join(r.stem for r in clash))
     chars = docs.agg(F.sum(char_len(F.col("paragraphs")))).first()[0] or 0

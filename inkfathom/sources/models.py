@@ -3,7 +3,9 @@
 from __future__ import annotations
 
 import json
+import socket
 import urllib.error
+import urllib.parse
 import urllib.request
 
 from pyspark.sql import DataFrame, SparkSession
@@ -12,8 +14,18 @@ from pyspark.sql import functions as F
 from inkfathom.functions.units import WordPiece
 
 
+CONNECT_SECONDS = 10
+
+
+def opened(request: urllib.request.Request, timeout: float):
+    """An answer within timeout; a server that does not take a connection is given up sooner."""
+    at = urllib.parse.urlsplit(request.full_url)
+    socket.create_connection((at.hostname, at.port or (443 if at.scheme == "https" else 80)), min(timeout, CONNECT_SECONDS)).close()
+    return urllib.request.urlopen(request, timeout=timeout)
+
+
 class ModelServer:
-    def __init__(self, url: str, opener=urllib.request.urlopen):
+    def __init__(self, url: str, opener=opened):
         self.url, self.opener = url.rstrip("/"), opener
 
     def call(self, path: str, body: dict | None = None) -> dict:
@@ -60,4 +72,8 @@ class ModelServer:
 
     def rewrite(self, model: str, instruction: str, query: str) -> str:
         body = {"model": model, "stream": False, "options": {"temperature": 0, "num_predict": 128}, "messages": [{"role": "system", "content": instruction}, {"role": "user", "content": query}]}
-        return self.call("/api/chat", body)["message"]["content"]
+        said = self.call("/api/chat", body)
+        text = (said.get("message") or {}).get("content")
+        if not isinstance(text := said.get("response") if text is None else text, str):
+            raise ValueError("/api/chat: no text in the answer")
+        return text

@@ -5,7 +5,9 @@ from __future__ import annotations
 import json
 import os
 import shutil
+import time
 import uuid
+from contextlib import contextmanager
 from datetime import UTC, datetime
 from pathlib import Path
 
@@ -66,14 +68,36 @@ class Store:
         except Exception:
             shutil.rmtree(place, ignore_errors=True)
             raise
+        with self._alone():
+            self._swap(strategy, version, build)
+
+    @contextmanager
+    def _alone(self):
+        """One writer of the manifest at a time."""
+        lock = self.root / "manifest.lock"
+        for _ in range(600):
+            try:
+                os.close(os.open(lock, os.O_CREAT | os.O_EXCL))
+                break
+            except FileExistsError:
+                time.sleep(0.1)
+        else:
+            raise TimeoutError(f"{lock} stays; remove it if no build is running")
+        try:
+            yield
+        finally:
+            lock.unlink(missing_ok=True)
+
+    def _swap(self, strategy: str, version: str, build: dict) -> None:
+        """Makes a version current. The one before stays for those who read it, until the next."""
         now = self._read()
-        old = now.get(strategy, {}).get("version")
-        now[strategy] = {"version": version, "build": {k: v for k, v in build.items() if k != "strategy"} | {"built_at": datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")}}
+        was = now.get(strategy, {})
+        now[strategy] = {"version": version, "before": was.get("version"), "build": {k: v for k, v in build.items() if k != "strategy"} | {"built_at": datetime.now(UTC).strftime("%Y-%m-%d %H:%M:%S")}}
         fresh = self.manifest.with_suffix(".new")
         fresh.write_text(json.dumps(now, indent=1))
         os.replace(fresh, self.manifest)
-        if old:
-            shutil.rmtree(self.root / old, ignore_errors=True)
+        if was.get("before"):
+            shutil.rmtree(self.root / was["before"], ignore_errors=True)
 
     def chunks_per_strategy(self) -> DataFrame:
         return self.chunks().groupBy("strategy").agg(F.count("*").alias("chunks"))

@@ -8,11 +8,13 @@ import pytest
 from inkfathom.functions.embed import ContextOverflow, HashingProvider, HttpProvider, decode_vector, embed_texts, encode_vector, normalise
 from inkfathom.functions.units import Measure, WordPiece, check_budget
 from inkfathom.operators import search
-from inkfathom.operators.chunking import Document, Fixed, Structure, chunk_rows, select
+from inkfathom.operators.chunking import Document, Fixed, Structure, chunk_rows, register, select
 from inkfathom.operators.evaluate import best, length_stats, metrics, ranks, unreachable
-from inkfathom.service import Engine, call, serve
+from inkfathom.service import Engine, call, main, serve
 from inkfathom.sources.docx import DocxError, collect, parse_styles, read_docx
+from inkfathom.sources.models import ModelServer
 from inkfathom.sources.questions import load_questions
+from inkfathom.sources.store import Store
 
 BODY = "A river runs past the mill and on to the sea. "
 W = "http://schemas.openxmlformats.org/wordprocessingml/2006/main"
@@ -154,7 +156,7 @@ def test_search(spark):
     for bad in ((0, 1, None), (1, 0, None), (1, 1, 2)):
         with pytest.raises(ValueError):
             search.validate(*bad)
-    assert search.clean_rewrite("\n`Query: Query: river mill`\nmore") == "river mill"
+    assert search.clean_rewrite("\n`Запрос:Запрос: river mill`\nmore") == "river mill" and search.clean_rewrite("Query: x") == "Query: x"
     assert search.rewritten("q", lambda q: " ")[0] == "q"
 
 
@@ -223,9 +225,116 @@ def test_chunks_hold_over_documents(spark):
         assert (rows.groupby("source").ordinal.max() + 1 == rows.groupby("source").size()).all()
 
 
-def test_entry_without_training_operators(spark):
+@pytest.mark.parametrize("gone", ["inkfathom.llm", "corpus_pipeline", "tiktoken"])
+def test_entry_without_training_operators(gone):
+    """Without that subpackage, the pipeline or a package that it needs, the other queries are there."""
     import subprocess
     import sys
 
-    code = "import sys; sys.path.insert(0, '.'); import importlib.util as u; f = u.find_spec; u.find_spec = lambda n, *a: None if n in ('corpus_pipeline', 'inkfathom.llm', 'inkfathom.llm.queries') else f(n, *a); import __spark_entry__ as e; q = e.queries(); assert 'cosine_topk' in q and 'pipeline' not in q and set(e.oracle_sql()) <= set(q)"
+    code = f"import sys; sys.path.insert(0, '.'); sys.modules[{gone!r}] = None; import __spark_entry__ as e; q = e.queries(); assert len(q) > 30 and not any(n.startswith('op') or n == 'pipeline' for n in q) and set(e.oracle_sql()) <= set(q)"
     subprocess.run([sys.executable, "-c", code], check=True, cwd=__file__.rsplit("/tests/", 1)[0])
+
+
+def test_many_queries_and_odd_vectors(spark, monkeypatch):
+    """Blocks of queries in one pass, vectors of unequal length, without a value or with one that is not a number: as the other form says."""
+    rng = np.random.default_rng(5)
+    vector = lambda i: None if i % 11 == 0 else [float("nan")] * 3 if i % 13 == 0 else rng.normal(size=3 if i % 3 else 2).tolist()
+    chunks = spark.createDataFrame([(i, vector(i)) for i in range(60)], "at int, vector array<double>")
+    asked = spark.createDataFrame([(i, vector(i + 1)) for i in range(25)], "qid int, query_vector array<double>")
+    rows = lambda how: sorted((r.qid, r.at, r["rank"], str(round(r.score, 9))) for r in search.candidates(asked, chunks, 4, ["at"], how).collect())
+    plain = rows("expr")
+    monkeypatch.setattr(search, "BLOCK", 7)
+    assert rows("matmul") == plain == rows("expr") and len(plain) == 4 * 23
+    assert search.candidates(asked.limit(0), chunks, 4, ["at"]).count() == 0
+
+
+def test_model_server_and_tools(spark, tmp_path):
+    """Catalogue, dimension, vocabulary, chat and errors of a model server, and tools called by their argument names."""
+    import urllib.error
+
+    shown = {"a": {"capabilities": ["embedding"], "model_info": {"x.embedding_length": 3, "x.context_length": 9, "tokenizer.ggml.model": "bert", "tokenizer.ggml.tokens": ["[UNK]", "hi", "##gh"]}}, "b": {"capabilities": ["completion"]}, "c": None, "d": {"capabilities": ["embedding"]}}
+    chats, seen = iter([{"message": {"content": "Запрос: one"}}, {"response": "two"}, {}]), []
+
+    def opener(request, timeout):
+        body = json.loads(request.data) if request.data else None
+        seen.append((request.full_url.rsplit("/api/", 1)[1], body))
+        what = seen[-1][0]
+        if what == "show" and shown[body["model"]] is None:
+            raise urllib.error.HTTPError("u", 404, "none", {}, io.BytesIO(b"no model"))
+        answer = {"tags": lambda: {"models": [{"name": n, "size": 7} for n in "dcba"]}, "show": lambda: shown[body["model"]], "chat": lambda: next(chats), "embed": lambda: {"embeddings": [[1.0, 2.0, 2.0, 0.0][: 3 if body["model"] == "a" else 4] for _ in body["input"]]}}[what]()
+        return io.BytesIO(json.dumps(answer).encode())
+
+    server = ModelServer("http://h:1/", opener)
+    assert [tuple(r) for r in server.embedding_models(spark).collect()] == [("a", 3, 9, 7), ("d", None, None, 7)]
+    assert server.dim("a", None) == 3 and server.dim("d", lambda text: [0] * 4) == 4 and server.word_pieces("a").count("high") == 2
+    assert (server.rewrite("m", "i", "q"), server.rewrite("m", "i", "q")) == ("Запрос: one", "two") and search.clean_rewrite("Запрос: one") == "one"
+    with pytest.raises(ValueError, match="no text"):
+        server.rewrite("m", "i", "q")
+    with pytest.raises(ValueError, match="404"):
+        server.show("c")
+    with pytest.raises(ValueError, match="kind None"):
+        server.word_pieces("d")
+    engine = Engine(spark, str(tmp_path / "db"), HttpProvider("http://h:1", "a", 3, opener=opener), server)
+    assert engine.provider_for("d").dim == 4 and engine.provider_for("d", 8).dim == 8 and engine.provider_for() is engine.provider and [m["name"] for m in engine.models()] == ["a", "d"]
+    answers = io.StringIO()
+    ask = lambda tool, **arguments: json.dumps({"id": 1, "method": "tools/call", "params": {"name": tool, "arguments": arguments}})
+    serve(engine, ["{broken", "[1]", ask("index_search", query="x", similarity_threshold=0.5, top_k=99), ask("index_build", input=str(tmp_path / "none"), model="d", batch=2, num_ctx=64), ask("index_compare", questions="q", out="o", rewrite_model="m"), json.dumps({"id": 2, "method": "tools/list"})], answers)
+    lines = [json.loads(x) for x in answers.getvalue().splitlines()]
+    assert [x.get("error", {}).get("code") for x in lines[:2]] == [-32700, -32700] and all(x["result"]["isError"] for x in lines[2:5])
+    assert [x["result"]["content"][0]["text"].split()[0] for x in lines[2:5]] == ["top_k", lines[3]["result"]["content"][0]["text"].split()[0], "the"]
+    tools = {t["name"]: t["inputSchema"] for t in lines[5]["result"]["tools"]}
+    assert tools["index_build"]["required"] == ["input"] and {"model", "dim", "num_ctx", "batch", "unit"} <= set(tools["index_build"]["properties"]) and "rewrite_model" in tools["index_compare"]["properties"]
+
+
+def test_command_line(spark, tmp_path, capsys):
+    (tmp_path / "in").mkdir()
+    (tmp_path / "in" / "_one.docx").write_bytes(docx(p("River", "1") + p("The river stands near the old road. " * 40), STYLES))
+    (tmp_path / "in" / "two.docx").write_bytes(docx(p("Mill", "1") + p("The mill is by the harbour. " * 40), STYLES))
+    common = ["--db", str(tmp_path / "db"), "--offline", "--dim", "64"]
+    main(["build", str(tmp_path / "in"), "--min-chars", "100", "--batch", "4", *common])
+    (tmp_path / "q.json").write_text(json.dumps([{"question": "old river road", "expected_section": "River", "source": "_one.docx"}]))
+    main(["compare", str(tmp_path / "q.json"), "--top-k", "3", "--similarity-threshold", "0.1", *common])
+    said = capsys.readouterr().out
+    assert "fixed: 2 files" in said and "structure: 2 files" in said and "# " in said
+    store = Store(spark, tmp_path / "db")
+    assert [b["built_at"][4] for b in store.builds()] == ["-", "-"] and {tuple(r) for r in store.models().collect()} == {("hashing-bow", 64)}
+    with pytest.raises(ValueError, match="built with"):
+        Engine(spark, str(tmp_path / "db"), HashingProvider(64, "x")).compare(str(tmp_path / "q.json"))
+
+
+def test_table_functions(spark):
+    register(spark)
+    text = "\n".join(["First line here. It goes on.", "  ", "Second line of some length, with words."] * 3)
+    lines = [" ".join(x.split()) for x in text.split("\n") if x.strip()]
+    doc = Document([(x, None) for x in lines])
+    for sql, chunker in (("fixed_chunks(text, 40, 8)", Fixed(40, 8)), ("structure_chunks(text, 60, 10)", Structure(60, 10))):
+        got = spark.createDataFrame([(text,)], "text string").createOrReplaceTempView("one") or spark.sql(f"select c.* from one, lateral {sql} c order by ordinal").collect()
+        assert [(r.char_start, r.char_end, r.chunk) for r in got] == [(c.start, c.end, c.text) for c in chunker.chunk(doc)] and len(got) > 2
+
+
+def test_units_over_odd_text():
+    """Against the rule said character by character."""
+    import unicodedata
+
+    w = WordPiece(["▁a", "b", "▁é", "▁e", "c", "▁漢", "▁!", "▁i"])
+
+    def plain(text):
+        words, now = [], ""
+        for char in text:
+            for c in unicodedata.normalize("NFD", char):
+                if c in "\t\n\x0b\x0c\r \x85\xa0\u1680\u2028\u2029\u202f\u205f\u3000" or 0x2000 <= ord(c) <= 0x200A:
+                    words, now = [*words, now], ""
+                elif unicodedata.category(c)[0] == "M" or unicodedata.category(c) == "Cc" or c == "\ufffd":
+                    continue
+                elif c in "!«»-" or 0x4E00 <= ord(c) <= 0x9FFF:
+                    words, now = [*words, now, c], ""
+                else:
+                    now += c.lower()
+        return [x for x in [*words, now] if x]
+
+    import random
+
+    rng = random.Random(3)
+    for _ in range(400):
+        text = "".join(rng.choice(["a", "B", "é", "e\u0301", "\u0301", " ", "\u2003", "\x1c", "\x85", "漢", "!", "«", "İ", "ß", "\ufffd", "\x00", "c", "Σ"]) for _ in range(rng.randint(0, 14)))
+        assert [x for _, x in w.words(text)] == plain(text) and w.count(text) == sum(map(w.word_tokens, plain(text))) == w.measure(text).length(0, len(text))
