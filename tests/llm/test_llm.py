@@ -409,6 +409,55 @@ def test_mixer_learns_by_five_predictors_and_a_map_of_the_final_weights(spark):
     assert -sums["sum(score)"] / math.log10(2) / sums["sum(n_bytes)"] < 2.5
 
 
+def test_scores_do_not_depend_on_partitions(spark):
+    """The same rows in one file's order and in thirteen shuffled partitions have the same scores to the last digit."""
+    frame = spark.read.parquet("/root/testdata/sf0.001/documents.parquet").select("doc_id", "text")
+    more = spark.createDataFrame([(10_000 + i, "".join(chr(97 + (i * j) % 26) for j in range(1500)) + f" w{i}") for i in range(9)], "doc_id long, text string")
+    rows = frame.union(more)
+    one = rows_of(context_mixing.score(rows.coalesce(1), heavy=50))
+    assert one == rows_of(context_mixing.score(rows.repartition(13, F.rand(3)), heavy=50)) and len(one) == frame.count() + 9
+
+
+def slow_base_and_tables(rows):
+    """Counts of byte contexts of training words, by plain loops: for each order the ones and zeros of each context and node."""
+    seen = {o: Counter() for o in (1, 2, 3, 4)}
+    for word, n in rows.items():
+        data = word + b"\xff"
+        for i, byte in enumerate(data):
+            for o in seen:
+                ctx = tuple(data[i - k] if i >= k else 0 for k in range(1, o + 1))
+                for b in range(8):
+                    seen[o][ctx, (1 << b) | byte >> (8 - b), byte >> (7 - b) & 1] += n
+    return seen
+
+
+def test_tables_count_all_contexts(spark):
+    rng = random.Random(12)
+    n = Counter({bytes(rng.choice(b"abcxyz\xc3") for _ in range(rng.randint(0, 9))): rng.randint(1, 5) for _ in range(400)})
+    made = context_mixing.blocks(spark.createDataFrame([(w, k, k) for w, k in n.items()], "word binary, n long, every long"))
+    found = context_mixing.grams(made).toArrow()
+    mixer = context_mixing.tables(found["key"].to_numpy(), found["n"].to_numpy().astype(float))
+    want = slow_base_and_tables(n)
+    for order, stretch in zip(context_mixing.ORDERS, mixer.stretch):
+        for (ctx, node), _ in Counter((c, x) for c, x, _ in want[order]).items():
+            before = np.zeros((5, 1), np.uint32)
+            before[1 : order + 1, 0] = ctx
+            cell = context_mixing._cells(context_mixing._hashed(order, before), np.array([[node]], np.uint32), len(stretch).bit_length() - 1)[0]
+            one, zero = want[order][ctx, node, 1], want[order][ctx, node, 0]
+            near = math.log((one + 0.4) / (zero + 0.4))
+            assert abs(stretch[cell] - near) < 1e-5 or len(set(want[order])) > 0 and _shares(want[order], order, cell, stretch, (ctx, node))
+
+
+def _shares(counts, order, cell, stretch, own):
+    """Whether another context has the same cell, which is allowed."""
+    for ctx, node, _ in counts:
+        before = np.zeros((5, 1), np.uint32)
+        before[1 : order + 1, 0] = ctx
+        if (ctx, node) != own and context_mixing._cells(context_mixing._hashed(order, before), np.array([[node]], np.uint32), len(stretch).bit_length() - 1)[0] == cell:
+            return True
+    return False
+
+
 def test_packing(odd, empty, docs):
     path = public_tokenizers.path(BYTE_BPE)
     e = packing.encoder(path)
