@@ -107,9 +107,12 @@ def _packed(lane: np.ndarray, lanes: int, value: np.ndarray, bits: np.ndarray) -
     at = begin[lane] * 8 + within
     word = value.astype(np.uint64) << (np.uint64(40) - (at & 7).astype(np.uint64) - bits.astype(np.uint64))
     out = np.zeros(int(begin[-1]) + 5, np.int64)
+    byte, reach = at >> 3, (at & 7) + bits
     for k in range(5):
-        part = (word >> np.uint64(32 - 8 * k)) & np.uint64(255)
-        out += np.bincount((at >> 3) + k, part, len(out)).astype(np.int64)
+        if k:
+            some = np.flatnonzero(reach > 8 * k)
+            word, byte, reach = word[some], byte[some], reach[some]
+        out += np.bincount(byte + k, (word >> np.uint64(32 - 8 * k)) & np.uint64(255), len(out)).astype(np.int64)
     pad = size * 8 - total
     full = size > 0
     out[begin[1:][full] - 1] += (1 << pad[full]) - 1
@@ -142,8 +145,8 @@ def _scan_bits(coefficients: np.ndarray, order: np.ndarray, scan: Scan, per_lane
     new = (seen == 1) if scan.ah else seen > 0  # coded with a symbol
     old = (seen > 1) if scan.ah else np.zeros_like(new)  # with a correction bit
     block, place = np.nonzero(new)
-    zeros = np.cumsum(~new & ~old, axis=1)
-    before = zeros[block, place]
+    zeros = np.cumsum(~new & ~old, axis=1, dtype=np.int16)
+    before = zeros[block, place].astype(np.int64)
     first = np.concatenate([[True], block[1:] != block[:-1]]) if len(block) else np.zeros(0, bool)
     run = before - np.where(first, 0, np.concatenate([[0], before[:-1]]) if len(block) else 0)
     value = band[block, place]
@@ -190,8 +193,10 @@ def _segment(marker: int, body: bytes) -> bytes:
 
 def _head(units: int) -> bytes:
     frame = b"\x08" + (16 * units).to_bytes(2, "big") + (24).to_bytes(2, "big") + bytes([3]) + b"".join(bytes([c.ident, c.h * 16 + c.v, 0]) for c in COMPONENTS)
-    tables = b"".join(bytes([k]) + bytes(lengths.count(n) for n in range(1, 17)) + bytes(symbols) for k, symbols, lengths in ((0x00, DC_SYMBOLS, DC_LENGTHS), (0x10, SYMBOLS, LENGTHS)))
-    return b"\xff\xd8" + _segment(0xDB, b"\x00" + bytes([1] * 64)) + _segment(0xC2, frame) + _segment(0xC4, tables)
+    return b"\xff\xd8" + _segment(0xDB, b"\x00" + bytes([1] * 64)) + _segment(0xC2, frame) + _segment(0xC4, _TABLES)
+
+
+_TABLES = b"".join(bytes([k]) + bytes(lengths.count(n) for n in range(1, 17)) + bytes(symbols) for k, symbols, lengths in ((0x00, DC_SYMBOLS, DC_LENGTHS), (0x10, SYMBOLS, LENGTHS)))
 
 
 #: Blocks of a unit: component and number of each in the order of the payload.
@@ -203,7 +208,7 @@ def encode_many(payloads: list[bytes]) -> list[bytes]:
     parts = [(i, p[a : a + UNIT * MOST_UNITS]) for i, p in enumerate(payloads) for a in range(0, len(p), UNIT * MOST_UNITS)]
     units = [len(p) // UNIT for _, p in parts]
     lanes = sum(units)
-    c = np.frombuffer(b"".join(p for _, p in parts), np.uint8).astype(np.int64).reshape(lanes * 9, 64) - 128
+    c = np.frombuffer(b"".join(p for _, p in parts), np.uint8).astype(np.int16).reshape(lanes * 9, 64) - np.int16(128)
     edges = np.concatenate([[0], np.cumsum(units)]).tolist()
     images = [[_head(u)] for u in units]
     for scan in SCRIPT:
@@ -264,6 +269,26 @@ def _lookup(table: bytes) -> np.ndarray:
 _lookups: dict[bytes, np.ndarray] = {}
 
 
+@lru_cache(256)
+def _quantisers(body: bytes) -> dict[int, np.ndarray]:
+    out, k = {}, 0
+    while k < len(body):
+        size = 64 * (1 + (body[k] >> 4))
+        out[body[k] & 15] = np.frombuffer(body[k + 1 : k + 1 + size], ">u2" if size > 64 else "u1").astype(np.float32)
+        k += 1 + size
+    return out
+
+
+@lru_cache(256)
+def _code_tables(body: bytes) -> dict[int, bytes]:
+    out, k = {}, 0
+    while k < len(body):
+        size = 17 + sum(body[k + 1 : k + 17])
+        out[body[k]] = body[k + 1 : k + size]
+        k += size
+    return out
+
+
 def parse(data: bytes) -> list[Image]:
     """The progressive JPEGs that stand one after the other in data."""
     images, at, tables, interval = [], 0, {}, 0
@@ -279,17 +304,9 @@ def parse(data: bytes) -> list[Image]:
         n = int.from_bytes(data[at + 2 : at + 4], "big")
         body, at, image = data[at + 4 : at + 2 + n], at + 2 + n, images[-1]
         if marker == 0xDB:
-            k = 0
-            while k < len(body):
-                wide = body[k] >> 4
-                image.quant[body[k] & 15] = np.frombuffer(body[k + 1 : k + 1 + 64 * (1 + wide)], ">u2" if wide else "u1").astype(np.float32)
-                k += 1 + 64 * (1 + wide)
+            image.quant.update(_quantisers(body))
         elif marker == 0xC4:
-            k = 0
-            while k < len(body):
-                size = 17 + sum(body[k + 1 : k + 17])
-                tables[body[k]] = body[k + 1 : k + size]
-                k += size
+            tables.update(_code_tables(body))
         elif marker in (0xC0, 0xC1, 0xC2):
             image.height, image.width = int.from_bytes(body[1:3], "big"), int.from_bytes(body[3:5], "big")
             image.components = tuple(Component(body[6 + 3 * i], body[7 + 3 * i] >> 4, body[7 + 3 * i] & 15) for i in range(body[5]))
@@ -464,7 +481,7 @@ def coefficients_of(images: list[Image]) -> list[np.ndarray]:
     """
     sizes = [sum(g[0] * g[1] for g in (im.grid(k) for k in range(len(im.components)))) for im in images]
     edges = np.concatenate([[0], np.cumsum(sizes)]).astype(np.int64)
-    every = np.zeros((int(edges[-1]), 64), np.int64)
+    every = np.zeros((int(edges[-1]), 64), np.int16)
     groups: dict = {}
     for i, im in enumerate(images):
         groups.setdefault((im.components, tuple((s, t) for s, _, t, _ in im.scans)), []).append(i)
@@ -514,6 +531,29 @@ def rgb(image: Image, coefficients: np.ndarray) -> np.ndarray:
     return np.clip(np.rint(out), 0, 255).astype(np.uint8)
 
 
+def tensors_of(images: list[Image], coefficients: list[np.ndarray]) -> list[np.ndarray]:
+    """The tensor of each image; those of one width and layout that end with a whole unit are turned together, one above the other."""
+    groups: dict = {}
+    for i, im in enumerate(images):
+        high = 8 * max(c.v for c in im.components)
+        alone = i if im.height % high or len(im.components) == 1 else None
+        groups.setdefault((alone, im.width, im.components, tuple(im.quant.get(q, _ONES).tobytes() for q in im.quant_of)), []).append(i)
+    out: list = [None] * len(images)
+    for own in groups.values():
+        first = images[own[0]]
+        tall = Image(first.width, sum(images[i].height for i in own), first.components, first.quant, first.quant_of)
+        ends = [np.cumsum([0, *(images[i].grid(k)[0] * images[i].grid(k)[1] for k in range(len(first.components)))]) for i in own]
+        stacked = np.concatenate([coefficients[i][e[k] : e[k + 1]] for k in range(len(first.components)) for i, e in zip(own, ends)])
+        at, pixels = 0, rgb(tall, stacked)
+        for i in own:
+            out[i] = pixels[at : at + images[i].height]
+            at += images[i].height
+    return out
+
+
+_ONES = np.ones(64, np.float32)
+
+
 def payload_of(coefficients: np.ndarray) -> bytes:
     """The bytes back from an image of encode_many."""
     units = len(coefficients) // 9
@@ -538,11 +578,12 @@ def _media(columns: dict[str, list], tensors: bool) -> dict[str, list]:
             stop += 1
         stored = encode_many([p for _, p in made[start:stop]])
         parsed = [parse(m) for m in stored]
-        found = iter(coefficients_of([im for images in parsed for im in images]))
+        flat = [im for images in parsed for im in images]
+        coefficients = coefficients_of(flat)
+        found = zip(coefficients, tensors_of(flat, coefficients))
         for (n, _), media, images in zip(made[start:stop], stored, parsed):
-            own = [next(found) for _ in images]
+            own, tensor = zip(*(next(found) for _ in images))
             payload = b"".join(map(payload_of, own))
-            tensor = [rgb(im, c) for im, c in zip(images, own)]
             pixels = b"".join(t.tobytes() for t in tensor)
             mean = np.frombuffer(pixels, np.uint8).reshape(-1, 3).mean(axis=0)
             feature = f"{24}x{sum(t.shape[0] for t in tensor)}:" + ",".join(f"{x:.3f}" for x in mean) + f":{zlib.crc32(pixels):08x}"
