@@ -35,7 +35,8 @@ def identify(docs: DataFrame, size: int = SAMPLE) -> DataFrame:
 
     Learns from rows whose crc32(doc_id) mod 3 is not 1. und with score 0 where the text is null or has no letter, or nothing
     was learned. rejected: the calibrated score is below that of all but one in a hundred of the right answers on held-back
-    training rows. Ids may repeat; other columns are not read; an empty table gives no rows.
+    training rows. Of classes that score alike the first in order wins. Ids may repeat, and equal texts have equal results; long texts are read
+    whole; other columns are not read, whatever their names; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.col("lang").alias("label"), F.coalesce(crc_mod("doc_id", 3) == 1, F.lit(False)).alias("held_out"))
     model = docs.sparkSession.sparkContext.broadcast(learn(rows.where(~F.col("held_out")).select("doc_id", "text", "label"), size))  # BUCKETS rows

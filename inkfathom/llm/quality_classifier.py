@@ -34,8 +34,9 @@ def classifier(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> Model:
 def score(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
     """doc_id, held_out, score (0 to 1, higher: label 1 likelier) and predicted of each row of docs (doc_id, text).
 
-    A null text is scored as an empty one, by the classes alone. Without usable labels every score is 0.5. Ids may repeat;
-    other columns are not read; an empty table gives no rows.
+    A null text is scored as an empty one, by the classes alone. Without usable labels every score is 0.5; a document labelled twice, or
+    an id that repeats, is learned from with each of its labels. Long texts are read whole; a score of exactly 0.7 is predicted 1.
+    Other columns are not read, whatever their names; an empty table gives no rows.
     """
     rows = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text"), F.coalesce(crc_mod("doc_id", 4) == 2, F.lit(False)).alias("held_out"))
     model = docs.sparkSession.sparkContext.broadcast(classifier(docs, labels, size))  # BUCKETS rows
@@ -43,7 +44,11 @@ def score(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
 
 
 def keep_good(docs: DataFrame, labels: DataFrame, size: int = SAMPLE) -> DataFrame:
-    """The rows of docs that the classifier does not reject, with all their columns."""
+    """The rows of docs that the classifier does not reject, with all their columns, whatever their names.
+
+    A null text is judged as an empty one; repeated rows all go or all stay; long texts are read whole. Without usable labels, or with
+    no label 1 among them, nothing is rejected. An empty table stays empty.
+    """
     model = docs.sparkSession.sparkContext.broadcast(classifier(docs, labels, size))
 
     def good(texts):

@@ -13,15 +13,18 @@ however long the texts are. The rest of the labelled sample, one in five rows, s
 from __future__ import annotations
 
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from inkfathom.llm.common import cut, lower_ascii, map_texts
 
 BUCKETS = 1 << 15
 SAMPLE = 3000
+#: Classes up to which each has a top-k plan of its own; more are chosen in one window, with the same result.
+PLANS = 32
 DIM = 16
 EPOCHS = 12
 _P = np.uint32(16777619)
@@ -99,7 +102,7 @@ def _bags(columns: dict[str, list], features: Features) -> dict[str, list]:
 
 
 def sample(rows: DataFrame, features: Features, size: int = SAMPLE, marks: DataFrame | None = None) -> tuple[list[tuple[np.ndarray, np.ndarray]], list]:
-    """Bags and labels of a bounded sample of rows (doc_id, text, label), the same number of each class (of at most 1,000 classes).
+    """Bags and labels of a bounded sample of rows (doc_id, text, label), the same number of each class, one at least.
 
     marks (doc_id, label) has the labels of rows without that column; it is joined by ids and hashes, so that texts are never shuffled
     for it. The order is by hash of id and text, so it does not depend on how rows are stored.
@@ -107,15 +110,17 @@ def sample(rows: DataFrame, features: Features, size: int = SAMPLE, marks: DataF
     key = F.xxhash64("doc_id", "text").alias("key")
     keyed = rows.select("doc_id", key).join(marks, "doc_id").select("key", "label") if marks is not None else rows.select(key, "label")
     keyed = cut(keyed)  # a key and a label a row
-    labels = sorted(r.label for r in keyed.select("label").distinct().limit(1000).collect())
-    share = max(1, size // max(1, len(labels)))
-    # chosen by id and hash first, without the texts; then the texts of those
-    few = None
-    for label in labels:
-        part = keyed.where(F.col("label") == F.lit(label)).distinct().orderBy("key").limit(share)
-        few = part if few is None else few.union(part)
-    if few is None:
+    labels = [r.label for r in keyed.where("label is not null").groupBy("label").agg(F.lit(1)).orderBy("label").collect()]  # the model has as many columns
+    if not labels:
         return [], []
+    share = max(1, size // len(labels))
+    # chosen by id and hash first, without the texts; then the texts of those
+    if len(labels) > PLANS:
+        best = Window.partitionBy("label").orderBy("key")  # each task keeps share rows of a label before the shuffle
+        few = keyed.where("label is not null").distinct().withColumn("rank", F.row_number().over(best)).where(F.col("rank") <= share).drop("rank")
+    else:
+        parts = [keyed.where(F.col("label") == F.lit(label)).distinct().orderBy("key").limit(share) for label in labels]
+        few = reduce(DataFrame.union, parts)
     kind = keyed.schema["label"].dataType.simpleString()
     chosen = rows.select("doc_id", "text", key).join(F.broadcast(few), "key").select("doc_id", "text", "label").distinct()  # few has size rows
     bags = map_texts(chosen, _bags, f"doc_id long, label {kind}, bucket array<int>, count array<int>", (features,))

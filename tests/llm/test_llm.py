@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from inkfathom.llm import common, context_mixing, language, line_dedup, packing, progressive_jpeg, quality_classifier, quality_rules, secrets, sentencepiece_bpe, simhash
+from inkfathom.llm import common, context_mixing, language, line_dedup, packing, progressive_jpeg, quality_classifier, quality_rules, secrets, sentencepiece_bpe, simhash, subword
 from inkfathom.llm.queries import BYTE_BPE, PIECE_BPE
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, copy string"
@@ -458,6 +458,70 @@ def _shares(counts, order, cell, stretch, own):
     return False
 
 
+def brute_sample(rows, size):
+    """Of each label the share of rows of smallest key, from (key, label)."""
+    by = {}
+    for key, label in set(rows):
+        by.setdefault(label, []).append(key)
+    share = max(1, size // len(by))
+    return sorted((k, label) for label, keys in by.items() for k in sorted(keys)[:share])
+
+
+def brute_probabilities(m, text):
+    """Feature by feature: the mean of their rows of the table, then the softmax."""
+    z = np.zeros(len(m.classes))
+    f = m.features.of((text or "").encode())
+    for b in f:
+        z += m.table[b].astype(float) / len(f)
+    e = np.exp((z + m.bias) / m.temperature)
+    return e / e.sum()
+
+
+def brute_grams(text, features):
+    """Buckets of the n-grams by plain loops."""
+    raw = bytes(32 if b in b" \t\n\x0b\x0c\r" else b for b in text.encode())
+    raw = b" " + (common.lower_ascii(raw) if features.lower else raw) + b" "
+    out = Counter()
+    for n in features.grams:
+        for i in range(len(raw) - n + 1):
+            h = 2166136261 + n
+            for b in raw[i : i + n]:
+                h = (h ^ b) * 16777619 & 0xFFFFFFFF
+            out[(h ^ h >> 15) & (features.buckets - 1)] += 1
+    return out
+
+
+@pytest.mark.parametrize("plans", [32, 1])
+def test_classifiers_against_plain_loops(spark, docs, monkeypatch, plans):
+    """The sample of every class, the features and the scores of the queries' models, in both ways of choosing."""
+    monkeypatch.setattr(subword, "PLANS", plans)
+    keyed = docs.where("lang is not null").select("doc_id", "text", F.col("lang").alias("label"), F.xxhash64("doc_id", "text").alias("key"))
+    bags, labels = subword.sample(keyed.drop("key"), language.FEATURES, 40)
+    want = brute_sample([(r.key, r.label) for r in keyed.collect()], 40)
+    texts = {r.key: r.text for r in keyed.collect()}
+    assert Counter(labels) == Counter(x for _, x in want)
+    assert sorted(tuple(sorted(zip(b.tolist(), c.astype(int).tolist()))) for b, c in bags) == sorted(tuple(sorted(brute_grams(texts[k], language.FEATURES).items())) for k, _ in want)
+    held = {r.doc_id: (r.lang_pred, r.score, r.rejected) for r in language.identify(docs).collect()}
+    usable = docs.select("doc_id", "text", F.col("lang").alias("label"), (common.crc_mod("doc_id", 3) == 1).alias("held_out"))
+    m = language.learn(usable.where("not held_out").drop("held_out"))
+    for r in docs.collect()[:60]:
+        if r.text and any(map(str.isalpha, r.text)):
+            p = brute_probabilities(m, r.text)
+            assert held[r.doc_id][0] == m.classes[int(p.argmax())] and abs(held[r.doc_id][1] - p.max()) < 1e-4
+    labels = spark.read.parquet("/root/testdata/sf0.001/labels.parquet")
+    q = quality_classifier.classifier(docs, labels)
+    for r in quality_classifier.score(docs, labels).collect()[:60]:
+        text = docs.where(F.col("doc_id") == r.doc_id).first().text if r.doc_id < 5 else None
+        if text is not None:
+            assert abs(r.score - brute_probabilities(q, text)[q.classes.index(1)]) < 1e-4 and r.predicted == (r.score >= 0.7)
+
+
+def test_many_classes_are_all_learned(spark):
+    rows = [(i, f"word{i % 1500} text", f"c{i % 1500}") for i in range(3000)]
+    bags, labels = subword.sample(spark.createDataFrame(rows, "doc_id long, text string, label string"), language.FEATURES, 300)
+    assert Counter(labels) == Counter({f"c{i}": 1 for i in range(1500)})
+
+
 def test_packing(odd, empty, docs):
     path = public_tokenizers.path(BYTE_BPE)
     e = packing.encoder(path)
@@ -571,3 +635,25 @@ def test_pipeline(spark):
     assert clean.columns == docs.columns and clean.count() == once.count() and not any(secrets.HEX.search(r.text) for r in clean.collect())
     packed = corpus_pipeline.packed(spark, clean, sf)
     assert {r.doc_id for r in packed.select("doc_id").distinct().collect()} == {r.doc_id for r in clean.collect()}
+
+
+def test_pipeline_stages_over_odd_rows(spark, odd, empty, tmp_path):
+    """Nulls, empty and long texts, repeated rows, clashing columns and empty tables through every stage."""
+    import corpus_pipeline
+
+    names = ["removed", "_id", "_hash", "_done", "hash", "row", "length", "fp", "_row", "place", "seq", "times", "label"]
+    docs = odd.withColumns({n: F.lit(n) for n in names})
+    spark.createDataFrame([(i, i % 2, 0) for i in range(12)], "doc_id long, quality int, toxic int").write.parquet(f"{tmp_path}/labels.parquet")
+    for _, stage in corpus_pipeline.STAGES[:-1]:
+        made = stage(spark, docs, str(tmp_path))
+        assert made.columns == docs.columns and made.dtypes == docs.dtypes
+        assert all(r[n] == n for r in made.collect() for n in names)
+        assert stage(spark, empty.withColumns({n: F.lit(n) for n in names}), str(tmp_path)).count() == 0
+    lines = corpus_pipeline.lines(spark, docs, str(tmp_path))
+    assert lines.count() == len(ODD) and lines.where("text is null").count() == 1
+    once = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
+    assert len(once) == len({simhash.fingerprint(t) for t in ODD}) == len({simhash.fingerprint(r.text) for r in once})
+    hidden = {r.doc_id: r.text for r in corpus_pipeline.secret_scans(spark, docs, str(tmp_path)).where("text like '%password%' or text like '%[assign]%'").collect()}
+    assert hidden and not any(HEX40 in t for t in hidden.values())
+    name, last = corpus_pipeline.STAGES[-1]
+    assert {r.doc_id for r in last(spark, docs, str(tmp_path)).collect()} == set(range(12)) and last(spark, empty, str(tmp_path)).count() == 0
