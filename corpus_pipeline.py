@@ -1,4 +1,8 @@
-"""A training corpus from the table of documents, stage by stage: each is written and read again before the next."""
+"""A training corpus from the table of documents, stage by stage: each is written and read again before the next.
+
+What the stages do with nulls, empty and long texts, ties, repeated rows, empty tables and columns of any name stands with their operators:
+keep_good, dedup, keep_first, redact and pack. All but the last return the columns that they get.
+"""
 
 from __future__ import annotations
 
@@ -6,7 +10,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from inkfathom.llm import line_dedup, packing, quality_classifier, secrets, simhash
-from inkfathom.llm.common import cut, documents
+from inkfathom.llm.common import cut, documents, drop
 from inkfathom.llm.queries import BYTE_BPE
 
 
@@ -48,9 +52,9 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of the last stage over table documents. A stage's table is removed when the next one's is written; the last one's stays for the result."""
     docs = documents(spark, sf_dir)
-    for i, (_, stage) in enumerate(STAGES):
-        docs = stage(spark, docs, sf_dir)
-        if i + 1 < len(STAGES):
-            docs = cut(docs)
-    return docs
+    for _, stage in STAGES[:-1]:
+        before, docs = docs, cut(stage(spark, docs, sf_dir))
+        drop(before)
+    return STAGES[-1][1](spark, docs, sf_dir)
