@@ -9,7 +9,7 @@ from __future__ import annotations
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from inkfathom.llm import line_dedup, packing, quality_classifier, secrets, simhash
+from inkfathom.llm import line_dedup, near_texts, packing, quality_classifier, secrets
 from inkfathom.llm.common import cut, documents, drop
 from inkfathom.llm.queries import BYTE_BPE
 
@@ -25,8 +25,8 @@ def lines(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group of near-duplicates, that of the smallest doc_id."""
-    return simhash.keep_first(docs)
+    """One document of each group of near-duplicates (a similarity of 0.8 or more of five-word shingles), that of the smallest doc_id."""
+    return near_texts.keep_first(docs)
 
 
 def secret_scans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
