@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfathom.llm.common import cut, drop, lower_ascii, map_texts, unused
+from inkfathom.llm.common import cut, drop, lower_ascii, map_texts
 from inkfathom.llm.components import smallest_reachable
 
 RADIUS = 3
@@ -167,29 +167,3 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     return made.join(reached.select(F.col("node").alias("fingerprint"), F.col("smallest").alias("component_id")), "fingerprint").select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
-
-
-def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """One row of docs for each component, with all its columns: that of the smallest id, then of the least hash of the text.
-
-    A null id comes after all others, so a document without an id stays if no other of its component has one. Of rows that
-    repeat an id and a text one stays. Null, empty and blank texts are one component. Long texts are read whole, columns may have any
-    names, and an empty table stays empty.
-    """
-    ident, same, kept_ident, kept_same, times = unused(docs, "_id", "_hash", "_kept", "_same", "_times")
-    key = {ident: F.col(id_col).cast("long"), same: F.xxhash64(F.col(text_col))}
-    rows = docs.select(key[ident].alias("id"), key[same].alias("hash"), F.col(text_col).alias("text"))
-    made = cut(map_texts(rows, lambda c: {"id": c["id"], "hash": c["hash"], "fp": [fingerprint(t) for t in c["text"]]}, "id long, hash long, fp long"))
-    keys = made.groupBy("fp", "id", "hash").agg(F.count("*").alias("n"))
-    firsts = cut(keys.groupBy("fp").agg(F.min(F.struct(F.isnull("id").alias("none"), "id", "hash", "n")).alias("first")))
-    reached = smallest_reachable(links(firsts.select("fp")), firsts.withColumnRenamed("fp", "node").withColumnRenamed("first", "rank"))
-    kept = cut(reached.select("smallest.*").distinct().select(F.col("id").alias(kept_ident), F.col("hash").alias(kept_same), F.col("n").alias(times)))
-    named = docs.withColumns(key)
-
-    def of(some: DataFrame) -> DataFrame:
-        return named.join(some, F.col(ident).eqNullSafe(F.col(kept_ident)) & (F.col(same) == F.col(kept_same)), "left_semi")
-
-    repeated = kept.where(F.col(times) > 1)
-    if repeated.isEmpty():
-        return of(kept).select(docs.columns)
-    return of(kept.where(F.col(times) == 1)).unionByName(of(repeated).dropDuplicates([ident, same])).select(docs.columns)

@@ -15,7 +15,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from inkfathom.llm import common, context_mixing, language, line_dedup, packing, progressive_jpeg, quality_classifier, quality_rules, secrets, sentencepiece_bpe, simhash, subword
+from inkfathom.llm import common, context_mixing, language, line_dedup, near_texts, packing, progressive_jpeg, quality_classifier, quality_rules, secrets, sentencepiece_bpe, simhash, subword
 from inkfathom.llm.queries import BYTE_BPE, PIECE_BPE
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, copy string"
@@ -292,7 +292,6 @@ def test_simhash(spark, odd, empty, docs):
         assert Counter((r.doc_id, r.component_id) for r in got) == brute_components(fps)
     assert simhash.near_duplicates(empty).count() == 0 and simhash.fingerprint(" \n") == 0 == simhash.fingerprint(None)
     assert simhash.fingerprint("A b C d") == simhash.fingerprint("a B c D")
-    assert simhash.keep_first(docs).columns == docs.columns
     rng = random.Random(4)
     values = [rng.getrandbits(64) for _ in range(30)]
     for v in list(values):
@@ -316,16 +315,59 @@ def test_simhash(spark, odd, empty, docs):
                 assert root(a) == root(b)
 
 
-def test_keep_first_keeps_one_row_of_each_component(spark, empty):
+def test_keep_first_keeps_one_row_of_each_group(spark, odd, empty, docs):
     a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
-    rows = [(None, a), (5, a), (None, b), (None, c), (None, c), (7, d), (7, d), (7, a), (8, d), (9, e), (9, e + " more words")]
+    rows = [(None, a), (5, a), (None, b), (None, c), (None, c), (7, d), (7, d), (7, a), (8, d), (9, e), (9, e.upper()), (None, None), (3, " \n"), (4, "")]
     frame = spark.createDataFrame([(i, t, "en", "h", 0, "", "") for i, t in rows], SCHEMA)
-    assert len({simhash.fingerprint(t) for t in (a, b, c, d, e)}) == 5
-    got = Counter((r.doc_id, r.text) for r in simhash.keep_first(frame).collect())
-    far = bin((simhash.fingerprint(e) ^ simhash.fingerprint(e + " more words")) & (1 << 64) - 1).count("1") > 3
+    got = Counter((r.doc_id, r.text) for r in near_texts.keep_first(frame).collect())
     nines = Counter({t: n for (i, t), n in got.items() if i == 9})
-    assert sum(nines.values()) == 1 + far and {k: n for k, n in got.items() if k[0] != 9} == {(5, a): 1, (None, b): 1, (None, c): 1, (7, d): 1}
-    assert simhash.keep_first(empty).count() == 0
+    assert sum(nines.values()) == 1 and {k: n for k, n in got.items() if k[0] != 9} == {(5, a): 1, (None, b): 1, (None, c): 1, (7, d): 1, (3, " \n"): 1}
+    assert near_texts.keep_first(empty).count() == 0 and near_texts.keep_first(docs).columns == docs.columns
+    assert len(near_texts.keep_first(odd).collect()) == len({" ".join(simhash.lower_ascii((t or "").encode()).decode().split()) for t in ODD})
+
+
+def jaccard(a, b):
+    a, b = (set(zip(*(t.split()[i:] for i in range(5)))) for t in (a, b))
+    return len(a & b) / len(a | b)
+
+
+def test_near_texts_against_exact_similarity(spark):
+    """Pairs over a range of similarities, and a large group of near copies of one text."""
+    rng = random.Random(7)
+    word = [f"w{i}" for i in range(3000)]
+    pairs = []
+    for _ in range(400):
+        t = rng.choices(word, k=rng.randint(30, 400))
+        u = list(t)
+        for i in rng.sample(range(len(t)), max(1, round(len(t) * rng.uniform(0, 0.08)))):
+            u[i] = rng.choice(word)
+        pairs.append((" ".join(t), " ".join(u)))
+    text = rng.choices(word, k=300)
+    group = [" ".join(text[:i] + ["other"] + text[i + 1 :]) for i in range(300)]
+    flat = [t for p in pairs for t in p] + group
+    frame = spark.createDataFrame([(i, t, "en", "h", 0, "", "") for i, t in enumerate(flat)], SCHEMA)
+    kept = {r.doc_id for r in near_texts.keep_first(frame).collect()}
+    assert {i for i in range(0, 800, 2)} <= kept and [i for i in kept if i >= 800] == [800]
+    found = [(jaccard(*p), 2 * i + 1 not in kept) for i, p in enumerate(pairs)]
+    surely, near, under = ([f for j, f in found if low <= j < high] for low, high in ((0.87, 1.01), (0.8, 0.87), (0, 0.7)))
+    assert all(surely) and len(surely) > 50 and sum(near) / len(near) > 0.8 and under and not any(under)
+
+
+def test_stars_join_all_that_meet():
+    """Names that meet on a key and differ in CHECK bits or fewer from its leader link to it; of the others each gets one such leader."""
+    rng = np.random.default_rng(3)
+    base = rng.integers(0, 1 << 63, 40, np.uint64)
+    names = np.unique((base[:, None] ^ (np.uint64(1) << rng.integers(0, 64, (40, 6), np.uint64))).ravel())
+    keys = rng.integers(0, 12, len(names)).astype(np.uint64)
+    led_keys, led, links = near_texts.stars(keys, names)
+    leaders = {(int(k), int(n)) for k, n in zip(led_keys, led)}
+    linked = {(int(a), int(b)) for a, b in links}
+    assert (np.diff(led_keys.astype(np.int64)) >= 0).all()
+    for k, n in zip(keys.tolist(), names.tolist()):
+        assert (k, n) in leaders or any(a == n and (k, b) in leaders and bin(a ^ b).count("1") <= near_texts.CHECK for a, b in linked)
+    for k in set(keys.tolist()):
+        own = [n for q, n in leaders if q == k]
+        assert all(bin(a ^ b).count("1") > near_texts.CHECK for i, a in enumerate(own) for b in own[:i])
 
 
 def test_language(odd, empty, spark):
@@ -629,8 +671,18 @@ def test_pipeline(spark):
     want = brute_lines([(r.doc_id, r.text) for r in good.collect()])
     assert {r.doc_id: r.text for r in lines.collect()} == {d: t for (d, _), (t, _) in want.items()} and lines.columns == docs.columns
     once = corpus_pipeline.near_duplicates(spark, lines, sf).cache()
-    fps = [(r.doc_id, simhash.fingerprint(r.text)) for r in lines.collect()]
-    assert {r.doc_id for r in once.collect()} == {c for _, c in brute_components(fps)} and once.columns == docs.columns
+    texts = {r.doc_id: r.text for r in lines.collect()}
+    stay = {r.doc_id for r in once.collect()}
+    by_shingle = {}
+    for d, t in texts.items():
+        for h in near_texts.shingles(t).tolist() or [None]:
+            by_shingle.setdefault(h, []).append(d)
+    exact = lambda d, o: not (texts[d].split() or texts[o].split()) or (min(len(texts[d].split()), len(texts[o].split())) >= 5 and jaccard(texts[d], texts[o])) or texts[d].lower().split() == texts[o].lower().split()
+    for d in texts.keys() - stay:  # what goes has a partner of 0.8, by estimate
+        assert max(exact(d, o) for h in near_texts.shingles(texts[d]).tolist() or [None] for o in by_shingle[h] if o != d) > 0.72
+    pairs = {(a, b) for ids in by_shingle.values() if len(ids) < 50 for a in ids for b in ids if a < b}
+    near = [(a in stay) and (b in stay) for a, b in pairs if exact(a, b) >= 0.85]
+    assert near and not any(near) and once.columns == docs.columns
     clean = corpus_pipeline.secret_scans(spark, once, sf).cache()
     assert clean.columns == docs.columns and clean.count() == once.count() and not any(secrets.HEX.search(r.text) for r in clean.collect())
     packed = corpus_pipeline.packed(spark, clean, sf)
@@ -652,7 +704,7 @@ def test_pipeline_stages_over_odd_rows(spark, odd, empty, tmp_path):
     lines = corpus_pipeline.lines(spark, docs, str(tmp_path))
     assert lines.count() == len(ODD) and lines.where("text is null").count() == 1
     once = corpus_pipeline.near_duplicates(spark, docs, str(tmp_path)).collect()
-    assert len(once) == len({simhash.fingerprint(t) for t in ODD}) == len({simhash.fingerprint(r.text) for r in once})
+    assert len(once) == len({near_texts.sketch(t)[0] for t in ODD}) == len({near_texts.sketch(r.text)[0] for r in once})
     hidden = {r.doc_id: r.text for r in corpus_pipeline.secret_scans(spark, docs, str(tmp_path)).where("text like '%password%' or text like '%[assign]%'").collect()}
     assert hidden and not any(HEX40 in t for t in hidden.values())
     name, last = corpus_pipeline.STAGES[-1]
