@@ -12,6 +12,7 @@ of any size is spread over all tasks. Different tables have different leaders, s
 
 Links are verified over all bits of all tables: with d of n bits different the cosine of the two sets is about cos(pi d / n), which with
 the sets' sizes gives their similarity, to about 0.03 of standard error at 0.8. Texts with the same name are linked without a look at the rest.
+Tables are worked in passes, and what verified links connect in one is not verified again in the next.
 """
 
 from __future__ import annotations
@@ -25,7 +26,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from inkfathom.llm.common import cut, drop, lower_ascii, map_texts, unused
-from inkfathom.llm.components import smallest_reachable
+from inkfathom.llm.components import settled, smallest_reachable
 
 SHINGLE, SIMILARITY = 5, 0.8
 TABLES, WIDTH, CHECK = 32, 32, 18
@@ -156,36 +157,53 @@ def similarity(d, size, other):
     return shared / (size + other - shared)
 
 
+def by_leader(links: DataFrame, side: DataFrame) -> DataFrame:
+    """links (a, b) with the other columns of side, none null, whose b are unique. Leaders of many links, HOT at most, are joined by broadcast."""
+    counts = links.groupBy("b").agg(F.count("*").alias("n"))
+    hot = counts.where(F.col("n") > links.count() / HOT).select("b")
+    marked = links.join(F.broadcast(cut(side.join(hot, "b", "left_semi"))), "b", "left")
+    extra = [c for c in side.columns if c != "b"]
+    rest = marked.where(F.col(extra[0]).isNull()).select("a", "b").join(side, "b")
+    return marked.where(F.col(extra[0]).isNotNull()).select(rest.columns).union(rest)
+
+
 def verified(links: DataFrame, nodes: DataFrame) -> DataFrame:
-    """The links a, b of which both texts (nodes: name, size, sketch) are estimated to have SIMILARITY or more."""
-    def side(name: str, some: DataFrame = nodes) -> DataFrame:
-        return some.select(F.col("name").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"))
-
-    every = cut(links.distinct())
-    counts = every.groupBy("b").agg(F.count("*").alias("n"))
-    hot = counts.where(F.col("n") > every.count() / HOT).select(F.col("b").alias("name"))
-    often = F.broadcast(cut(side("b", nodes.join(hot, "name", "left_semi"))))
-    marked = every.join(often, "b", "left")
-    rest = marked.where("b_size is null").select("a", "b").join(side("b"), "b")
-    both = marked.where("b_size is not null").select(rest.columns).union(rest).join(side("a"), "a")
+    """The links a, b, each there once, of which both texts (nodes: name, size, sketch) are estimated to have SIMILARITY or more."""
+    def side(name: str) -> DataFrame:
+        return nodes.select(F.col("name").alias(name), F.col("size").alias(f"{name}_size"), F.col("sketch").alias(f"{name}_sketch"))
+
+    both = by_leader(links, side("b")).join(side("a"), "a")
     apart = F.aggregate(F.zip_with("a_sketch", "b_sketch", lambda x, y: F.bit_count(x.bitwiseXOR(y))), F.lit(0), lambda n, x: n + x)
-    found = cut(both.where(similarity(apart, F.col("a_size"), F.col("b_size")) >= SIMILARITY).select("a", "b"))
-    drop(every)
-    return found
+    return cut(both.where(similarity(apart, F.col("a_size"), F.col("b_size")) >= SIMILARITY).select("a", "b"))
+
+
+def unconnected(links: DataFrame, nodes: DataFrame, stars: DataFrame) -> DataFrame:
+    """The links a, b whose ends (nodes: name) stand in different components of stars, see settled()."""
+    roots = cut(nodes.select("name").join(stars, F.col("name") == F.col("a"), "left").select("name", F.coalesce("b", "name").alias("root")))
+    ends = by_leader(links, roots.select(F.col("name").alias("b"), F.col("root").alias("b_root")))
+    other = roots.select(F.col("name").alias("other"), "root")
+    kept = cut(ends.join(other, (F.col("a") == F.col("other")) & (F.col("root") != F.col("b_root"))).select("a", "b"))
+    drop(roots)
+    return kept
 
 
 def links(nodes: DataFrame) -> DataFrame:
-    """Verified links a, b between nodes (name, size, sketch)."""
+    """a, b: links that connect all nodes (name, size, sketch) that verified links connect.
+
+    A link whose ends the passes before have connected adds nothing to the components, so it is not verified.
+    """
     tasks = int(nodes.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     dealt = cut(nodes.repartition(tasks, F.xxhash64("name")))  # each row grows a hundredfold
     parts = max(math.ceil(tasks * PASSES / TABLES), math.ceil(dealt.count() * len(FLIPS) * PACKED / BUCKET_BYTES))
-    found = [cut(emitted(dealt, turn, parts).groupBy("bucket").applyInArrow(_meet(parts), "a long, b long")) for turn in range(PASSES)]
-    every = found[0]
-    for more in found[1:]:
-        every = every.union(more)
-    good = verified(every, dealt)
-    drop(dealt, *found)
-    return good
+    stars = None
+    for turn in range(PASSES):
+        found = cut(emitted(dealt, turn, parts).groupBy("bucket").applyInArrow(_meet(parts), "a long, b long").distinct())
+        some = unconnected(found, dealt, stars) if stars is not None else found
+        good = verified(some, dealt)
+        before, stars = stars, settled(good if stars is None else stars.union(good))
+        drop(found, some, good, before)
+    drop(dealt)
+    return stars
 
 
 def keep_first(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
