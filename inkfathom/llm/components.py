@@ -22,23 +22,21 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
     return out.where("a <> b").distinct()
 
 
-def settled(edges: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """a, b: for each node of edges (a, b) but the least of a component that least one, as a table that the caller may drop."""
+def smallest_reachable(edges: DataFrame, nodes: DataFrame, most_rounds: int = 60) -> DataFrame:
+    """node, smallest: the least rank of the nodes in a node's component. edges: a, b; nodes: node (unique), rank."""
     stars = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
     state = None
     for _ in range(most_rounds):
         now = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
-        if state == (now.n, now.h) or not now.n:
-            return stars
+        if state == (now.n, now.h):
+            break
         state = (now.n, now.h)
+        if not now.n:
+            break
         before, stars = stars, cut(_star(_star(stars, True), False))
         drop(before)
-    raise RuntimeError("the components did not settle")
-
-
-def smallest_reachable(edges: DataFrame, nodes: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, smallest: the least rank of the nodes in a node's component. edges: a, b; nodes: node (unique), rank."""
-    stars = settled(edges, most_rounds)
+    else:
+        raise RuntimeError("the components did not settle")
     roots = nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", "rank", F.coalesce("root", "node").alias("root"))
     least = roots.groupBy("root").agg(F.min("rank").alias("smallest"))
     return roots.join(least, "root").select("node", "smallest")
