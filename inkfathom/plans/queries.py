@@ -8,7 +8,7 @@ import shutil
 import uuid
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from inkfathom.functions.embed import HashingProvider, decode_vector, embed_column, encode_vector, l2_normalised
@@ -41,6 +41,12 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def rounded(x: Column) -> Column:
+    """A finite x to six places as SQL does it: what rounds to zero keeps its sign, which F.round drops."""
+    r = F.round(x * 1e6) / 1e6
+    return F.when(r == 0, x * 0.0).otherwise(r)
+
+
 def lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Paragraphs of the documents with a heading at every seventh line, levels 1 to 3 in turn."""
     level = F.when(F.col("idx") % 7 == 0, 1 + F.floor(F.col("idx") / 7) % 3)
@@ -237,7 +243,7 @@ def vector_codec(spark, sf_dir):
 
 @query("select vec_id, list_transform(embedding, lambda x: round(x::double / sqrt(list_sum(list_transform(embedding, lambda y: y::double * y::double))), 6)) as vector from embeddings")
 def l2_normalize(spark, sf_dir):
-    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(l2_normalised(F.col("embedding")), lambda x: F.round(x, 6)).alias("vector"))
+    return table(spark, sf_dir, "embeddings").select("vec_id", F.transform(l2_normalised(F.col("embedding")), rounded).alias("vector"))
 
 
 def vectors(spark, sf_dir) -> tuple[DataFrame, DataFrame]:

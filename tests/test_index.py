@@ -2,6 +2,7 @@ import io
 import json
 import zipfile
 
+import duckdb
 import numpy as np
 import pytest
 
@@ -10,6 +11,7 @@ from inkfathom.functions.units import Measure, WordPiece, check_budget
 from inkfathom.operators import search
 from inkfathom.operators.chunking import Document, Fixed, Structure, chunk_rows, register, select
 from inkfathom.operators.evaluate import best, length_stats, metrics, ranks, unreachable
+from inkfathom.plans import queries
 from inkfathom.service import Engine, call, main, serve
 from inkfathom.sources.docx import DocxError, collect, parse_styles, read_docx
 from inkfathom.sources.models import ModelServer
@@ -338,3 +340,15 @@ def test_units_over_odd_text():
     for _ in range(400):
         text = "".join(rng.choice(["a", "B", "é", "e\u0301", "\u0301", " ", "\u2003", "\x1c", "\x85", "漢", "!", "«", "İ", "ß", "\ufffd", "\x00", "c", "Σ"]) for _ in range(rng.randint(0, 14)))
         assert [x for _, x in w.words(text)] == plain(text) and w.count(text) == sum(map(w.word_tokens, plain(text))) == w.measure(text).length(0, len(text))
+
+
+def test_normalised_vectors_equal_the_sql_to_the_bit(spark, tmp_path):
+    """Small negative numbers round to a zero that keeps its sign."""
+    rng = np.random.default_rng(4)
+    wide = rng.normal(size=(300, 8)) * 10.0 ** rng.integers(-9, 1, (300, 8))
+    rows = [(i, [float(x) for x in v]) for i, v in enumerate([*wide, [1, -1e-8, 1e-8, -0.0, 0.0, 0.0078125, -0.0078125, -4e-7]])]
+    spark.createDataFrame(rows, "vec_id long, embedding array<float>").write.parquet(f"{tmp_path}/embeddings.parquet")
+    got = {r.vec_id: np.array(r.vector).tobytes() for r in queries.QUERIES["l2_normalize"](spark, str(tmp_path)).collect()}
+    sql = queries.SQL["l2_normalize"].replace("from embeddings", f"from '{tmp_path}/embeddings.parquet/*.parquet'")
+    want = {i: np.array(v).tobytes() for i, v in duckdb.sql(sql).fetchall()}
+    assert got == want and len(got) == len(rows)
