@@ -1,7 +1,8 @@
 """Language-model scoring by logistic context mixing over the bits of words.
 
 A text is its words in lower case (A-Z), each closed by a byte 255, and the end, an empty word. Every bit of a word is
-predicted by several hashed-context predictors (the last one to four bytes within the word, and the whole word so far).
+predicted by several hashed-context predictors (the last one to four bytes, which reach over the word's start into the words before, and the
+whole word so far).
 Their log-odds are combined by weights that gates choose (place in the word and bit; the byte before), learned online, and the
 result is refined by an adaptive map from (byte before, first bits, quantised log-odds) to what came true. The score of a text is
 the log10 of the product over its bits; bits per byte follow from it.
@@ -13,8 +14,9 @@ count at theirs; blocks begin at words that a hash chooses. The bytes before a b
 sized from the number of distinct contexts found. The gated weights are learned online in lanes of blocks, in the
 order of their hashes, and averaged by the bits seen, and then the adaptive map is summed over all words with the
 final weights; in both the whole-word counts leave out one
-occurrence of the word itself, as it would be in a text not yet seen. After that the model is fixed, so a word has one score on any executor, and words are
-scored once each. Words over 1/HEAVY of all tokens, hence at most HEAVY, go to each worker; the others are joined by word,
+occurrence of the word itself, as it would be in a text not yet seen. After that the model is fixed. From its fourth byte on a word has one score
+whatever stands before it, and words are scored once each from there. Its first HEAD bytes depend on the words before: their different contexts, which are few, are counted in
+all rows with the bytes before them (Heads), learned from in the same lanes, priced once each, and added up along each text. Words over 1/HEAVY of all tokens, hence at most HEAVY, go to each worker; the others are joined by word,
 and none of them is frequent enough to make a hot key.
 """
 
@@ -42,10 +44,13 @@ ORDERS = (1, 2, 3, 4, 0)  # 0: the whole word so far
 #: Words of a block of sorted words on average; bytes over which a word begins one; blocks that one learner of the weights has, on average.
 BLOCK_WORDS, LONG_WORD, LANE_BLOCKS = 4_000, 1_000, 16
 PLACES, END_BYTE = 16, 255
+HEADS = 100_000  # different first bytes that are learned from at once, at most about so many
 RATE = 0.02  # of the mean gradient of a gate
 #: Different words that a task counts before it passes them on, and bytes of words that are worked on at once.
 COUNTED, BYTES = 300_000, 1_500
 STEPS = 33
+#: Bytes of a word whose contexts reach over its start: at a later place the longest, of four bytes, holds the word's bytes and the end before it, which is always the same.
+HEAD = 3
 
 
 def tokens(text: str | None) -> list[bytes]:
@@ -54,7 +59,7 @@ def tokens(text: str | None) -> list[bytes]:
 
 
 def _before(raw: np.ndarray, place: np.ndarray) -> np.ndarray:
-    """Row k: the byte k places back, 0 before the word."""
+    """Row k: the byte k places back, 0 before the word. Of words in texts this serves from place HEAD on, where no context reaches over the word's end before; see Heads."""
     before = np.zeros((5, len(raw)), np.uint32)
     for k in range(1, 5):
         before[k, k:] = np.where(place[k:] >= k, raw[:-k], 0) if k < len(raw) else 0
@@ -98,10 +103,12 @@ class Read:
     hashes: list[np.ndarray]
     fresh: np.ndarray
     source: np.ndarray
+    start: int = 0
 
     @classmethod
-    def of(cls, data: list[bytes], predictors: int, shared: np.ndarray | None = None) -> Read:
+    def of(cls, data: list[bytes], predictors: int, shared: np.ndarray | None = None, start: int = 0) -> Read:
         """shared: how many first bits each word has in common with the one before it, see shared_bits(); else nothing is held to be.
+        start: the first place in a word that is predicted; those before are left to Heads.
 
         fresh are the places of bytes that the word before does not begin with; source has for each byte its own place, or else
         that of the fresh byte which it repeats. What is predicted of a bit follows from the bits before it in its word, so it is the same at both.
@@ -118,12 +125,12 @@ class Read:
                 hashes.append(h ^ (h >> np.uint32(15)))
         at = np.arange(len(raw))
         if shared is None or not len(shared):
-            return cls(raw, word, place, before[1], hashes, at, at)
+            return cls(raw, word, place, before[1], hashes, at[place >= start], at, start)
         new = place >= np.concatenate([[0], shared // 8])[word]
         order = np.argsort(place, kind="stable")  # all first bytes, all second bytes, ...: the last new one is the one repeated
         source = np.empty(len(raw), np.int64)
         source[order] = order[np.maximum.accumulate(np.where(new[order], at, 0))]
-        return cls(raw, word, place, before[1], hashes, np.flatnonzero(new), source)
+        return cls(raw, word, place, before[1], hashes, np.flatnonzero(new & (place >= start)), source, start)
 
     def bits(self, some: np.ndarray | slice, widths: list[int], level: np.ndarray | int = 0) -> tuple[np.ndarray, ...]:
         """For each bit of some bytes: its word, the cells of each predictor, the two gates, the map's row, and the bit."""
@@ -212,13 +219,15 @@ class Mixer:
         step = np.clip(np.rint((np.clip(z, -8, 8) + 8) * 2), 0, STEPS - 1).astype(np.int64)
         return bits[4].astype(np.int64) * STEPS + step
 
-    def log10(self, words: list[bytes], totals: np.ndarray | None = None) -> np.ndarray:
-        """log10 of each word's probability, its closing byte included. totals: see context_counts(), of all these words, which differ.
+    def log10(self, words: list[bytes], totals: np.ndarray | None = None, start: int = 0) -> np.ndarray:
+        """log10 of each word's probability from place start on, its closing byte included. totals: see context_counts(), of all these words, which differ.
 
         What a word has in common with the one before it is worked out once, so sorted words cost least.
         """
         data = [w + b"\xff" for w in words]
-        read = Read.of(data, len(self.stretch), shared_bits(data))
+        return self.prices(Read.of(data, len(self.stretch), shared_bits(data), start), totals, len(words))
+
+    def prices(self, read: Read, totals: np.ndarray | None, words: int) -> np.ndarray:
         price = np.zeros(len(read.raw))
         for some in np.split(read.fresh, range(BYTES, len(read.fresh), BYTES)):
             whole, level = (None, 0) if totals is None else read.whole(some, totals)
@@ -227,13 +236,141 @@ class Mixer:
             p = 1 / (1 + np.exp(-np.clip(z, -30, 30)))
             p = np.clip((p + self.refined[self.place(bits, z)]) / 2, 1e-9, 1 - 1e-9)
             price[some] = np.log(np.where(bits[5] > 0, p, 1 - p)).reshape(-1, 8).sum(axis=1)
-        return np.bincount(read.word, price[read.source], len(words)) / np.log(10)
+        return np.bincount(read.word, price[read.source], words) / np.log(10)
 
 
 def _log_odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return np.log(((ones + 0.4) / (zeros + 0.4)).astype(np.float32))
 
 
+def head_keys(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the first HEAD bytes of all closed words and ends of texts: each with the four bytes before it in the text as a key (see grams()), and its text's number.
+
+    The bytes before reach over the word's start: its end byte before it, then the words before, as far as they go. A text begins as after an end.
+    """
+    parts = [b"\0\0\0\xff" + b"".join([w + b"\xff" for w in words]) + b"\xff" for words in texts]
+    raw = np.frombuffer(b"".join(parts), np.uint8)
+    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
+    ends = np.cumsum(sizes)
+    closed = raw == END_BYTE
+    after = closed.copy()
+    after[ends - 1] = False  # nothing follows the end of a text
+    at, found = np.flatnonzero(after) + 1, []
+    for _ in range(HEAD):
+        found.append(at)
+        at = at[~closed[at]] + 1
+    at = np.concatenate(found)
+    key = np.zeros(len(at), np.int64)
+    for k in range(max(ORDERS) + 1):
+        key |= raw[at - k].astype(np.int64) << 8 * k
+    return key, np.searchsorted(ends, at, "right")
+
+
+def head_counts(rows: DataFrame) -> DataFrame:
+    """key (see head_keys()), n (in training rows; 0 of those in others only)."""
+
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        kept: list[tuple] = []
+
+        def merged():
+            keys, at = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
+            return keys, np.bincount(at, np.concatenate([n for _, n in kept]), len(keys))
+
+        for batch in batches:
+            texts, held = batch.column("text").to_pylist(), np.array(batch.column("held_out").to_pylist(), bool)
+            for part in chunks([len(t or "") for t in texts]):
+                keys, text = head_keys([tokens(t) for t in texts[part]])
+                each, at = np.unique(keys, return_inverse=True)
+                kept.append((each, np.bincount(at, ~held[part][text], len(each))))
+                kept = [merged()] if len(kept) >= 8 else kept
+        if kept:
+            keys, n = merged()
+            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
+
+    return rows.select("text", "held_out").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+
+
+def _mixed(key: np.ndarray, turn: int = 0) -> np.ndarray:
+    h = (key.astype(np.uint64) + np.uint64(turn + 1)) * np.uint64(0x9E3779B97F4A7C15)
+    return (h ^ (h >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+
+
+@dataclass
+class Heads:
+    """The different first HEAD bytes of words with the bytes before them over words: all that predicts them is in the key, so each is learned and priced once.
+
+    n: how often in training rows; counts: of a place's bytes in the word so far, what the first 0..8 bits of the last were seen (whole-word contexts); at: a key's row there.
+    """
+
+    key: np.ndarray
+    n: np.ndarray
+    counts: np.ndarray
+    at: np.ndarray
+
+    @classmethod
+    def of(cls, key: np.ndarray, n: np.ndarray) -> Heads:
+        order = np.argsort(_mixed(key), kind="stable")
+        key, n = key[order], n[order].astype(float)
+        place = cls.places(key)
+        part, at = np.unique((place << 24) | key & ((1 << 8 * (place + 1)) - 1), return_inverse=True)  # the word so far, its first byte highest
+        weight = np.bincount(at, n, len(part))
+        counts = np.empty((len(part), 9))
+        for s in range(9):
+            _, of = np.unique(part >> (8 - s), return_inverse=True)
+            counts[:, s] = np.bincount(of, weight)[of]
+        return cls(key, n, counts, at.astype(np.int32))
+
+    @staticmethod
+    def places(key: np.ndarray) -> np.ndarray:
+        return np.where(key >> 8 & 255 == END_BYTE, 0, np.where(key >> 16 & 255 == END_BYTE, 1, 2)).astype(np.int64)
+
+    def block(self, some: np.ndarray) -> tuple[Read, np.ndarray, np.ndarray]:
+        """As _seen() gives words: each byte as one item."""
+        key, at = self.key[some], np.arange(len(some))
+        before = np.stack([(key >> 8 * k & 255).astype(np.uint32) for k in range(max(ORDERS) + 1)])
+        read = Read(before[0], at, self.places(key), before[1], [_hashed(o, before) for o in ORDERS if o], at, at)
+        return read, self.n[some], self.counts[self.at[some]].ravel()
+
+    def lane(self, lane: int, lanes: int) -> np.ndarray:
+        """Training keys of a lane, by their hash."""
+        return np.flatnonzero((_mixed(self.key, 7) >> np.uint64(20)) % np.uint64(lanes) == lane) if lanes > 1 else np.arange(len(self.key))
+
+
+@dataclass
+class Priced:
+    """The price of each key, found by hash: keys whose slot another one has are in the next table."""
+
+    key: np.ndarray
+    price: np.ndarray
+    slots: list[np.ndarray]
+
+    @classmethod
+    def of(cls, key: np.ndarray, price: np.ndarray) -> Priced:
+        slots, left = [], np.arange(len(key), dtype=np.int32)
+        while len(left):
+            table = np.full(1 << max(4, int(np.ceil(np.log2(len(left) * 2)))), -1, np.int32)
+            s = cls.slot(key[left], len(slots), len(table))
+            table[s] = left
+            slots.append(table)
+            left = left[table[s] != left]
+        return cls(key, price, slots)
+
+    @staticmethod
+    def slot(key: np.ndarray, turn: int, size: int) -> np.ndarray:
+        return (_mixed(key, turn) >> np.uint64(65 - size.bit_length())).astype(np.int64)
+
+    def __call__(self, key: np.ndarray) -> np.ndarray:
+        out, left = np.full(len(key), -1, np.int32), np.arange(len(key))
+        for turn, table in enumerate(self.slots):
+            some = key[left]
+            got = table[self.slot(some, turn, len(table))]
+            out[left] = got
+            left = left[self.key[got] != some]
+        if len(left):
+            raise ValueError("a key that was not counted")
+        return self.price[out]
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
     """word, n (in training rows), every (in all rows) of rows (text, held_out); the empty word is the end of a text."""
 
@@ -374,40 +511,51 @@ def edges(rows: list[dict]) -> dict[int, tuple]:
     return {r["id"]: (a, b) for r, a, b in zip(rows, [None, *whole], [*whole, None])}
 
 
-def _seen(rows: list[dict], known: dict[int, tuple], predictors: int) -> Iterator[tuple[Read, np.ndarray, np.ndarray]]:
+def _seen(rows: list[dict], known: dict[int, tuple], predictors: int, start: int = 0) -> Iterator[tuple[Read, np.ndarray, np.ndarray]]:
     """Of each block, in an order by hash: its training words, how often they occur, and their context counts."""
     for row in sorted(rows, key=lambda r: (xxhash.xxh64_intdigest(str(r["id"])), r["id"])):
         data, n = [w + b"\xff" for w in row["words"]], np.array(row["n"], float)
         totals, seen = context_counts(data, n, *known[row["id"]]), n > 0
         if seen.any():
             few = [d for d, s in zip(data, seen) if s]
-            yield Read.of(few, predictors, shared_bits(few)), n[seen], totals[np.repeat(seen, [8 * len(d) + 1 for d in data])]
+            yield Read.of(few, predictors, shared_bits(few), start), n[seen], totals[np.repeat(seen, [8 * len(d) + 1 for d in data])]
 
 
-def _summed(made: DataFrame, size: int, known, add, lanes: int) -> np.ndarray:
+def _summed(made: DataFrame, size: int, known, add, lanes: int, heads) -> np.ndarray:
     """A vector of size sums that add(block, vector, state) fills, over all training words: in each lane of blocks first, then by place. state is the lane's own.
 
-    Lanes are dealt by the hash of a block's id, so neither they nor the order in them depend on partitions.
+    Lanes are dealt by the hash of a block's id, so neither they nor the order in them depend on partitions. Every lane has its heads too, a part
+    of them before each block.
     """
 
-    def fill(table):
+    def fill(key, table):
         total, state = np.zeros(size), {}
-        for block in _seen(table.to_pylist(), known.value, len(ORDERS) - 1):
+        rows = [r for r in table.to_pylist() if r["words"] is not None]
+        mine = heads.value.lane(key[0].as_py(), lanes)
+        mine = mine[heads.value.n[mine] > 0]
+        parts = iter(np.array_split(mine, max(1, len(rows), len(mine) // HEADS)))
+        for block in _seen(rows, known.value, len(ORDERS) - 1, HEAD):
+            if len(part := next(parts)):
+                add(heads.value.block(part), total, state)
             add(block, total, state)
+        for part in parts:
+            if len(part):
+                add(heads.value.block(part), total, state)
         at = np.nonzero(total)[0]
         return pa.table({"at": pa.array(at.astype(np.int32)), "v": pa.array(total[at])})
 
     # rounded in each lane, so that the order of the sums does not matter
     lane = F.pmod(F.xxhash64("id"), F.lit(lanes)).alias("lane")
-    rows = made.select(lane, "id", "words", "n").groupBy("lane").applyInArrow(fill, "at int, v double").groupBy("at").agg(F.sum(F.round(F.col("v") * 1024).cast("long")).alias("v"))
+    every = made.sparkSession.range(lanes).select("id", (-1 - F.col("id")).alias("block"), F.lit(None).cast("array<binary>"), F.lit(None).cast("array<long>"))
+    rows = made.select(lane.cast("long"), "id", "words", "n").union(every).groupBy("lane").applyInArrow(fill, "at int, v double").groupBy("at").agg(F.sum(F.round(F.col("v") * 1024).cast("long")).alias("v"))
     out = np.zeros(size)
     table = rows.toArrow()  # size rows at most
     out[table["at"].to_numpy()] = table["v"].to_numpy() / 1024
     return out
 
 
-def grams(made: DataFrame) -> DataFrame:
-    """key, n of all training words: a byte (lowest) and those before it in its word, as many as any predictor looks back, 0 before the word."""
+def grams(made: DataFrame, start: int = 0) -> DataFrame:
+    """key, n of all training words from place start on: a byte (lowest) and those before it in its word, as many as any predictor looks back, 0 before the word."""
 
     def count(batches):
         kept: list[tuple] = []
@@ -422,7 +570,8 @@ def grams(made: DataFrame) -> DataFrame:
                 before, key = _before(raw, place), raw.astype(np.int64)
                 for k in range(1, max(ORDERS) + 1):
                     key += before[k].astype(np.int64) << 8 * k
-                kept.append((key, np.array(n.as_py(), float)[word]))
+                late = place >= start
+                kept.append((key[late], np.array(n.as_py(), float)[word][late]))
                 kept = [merged()] if len(kept) >= 16 else kept
         if kept:
             keys, n = merged()
@@ -449,11 +598,11 @@ def tables(key: np.ndarray, n: np.ndarray) -> Mixer:
     return Mixer.new(ones, zeros)
 
 
-def learn(made: DataFrame, known, lanes: int) -> Mixer:
-    """The model, from all words of blocks with n over 0; known: the broadcast edges of the blocks."""
+def learn(made: DataFrame, known, lanes: int, heads) -> Mixer:
+    """The model, from all words of blocks with n over 0 and the heads; known: the broadcast edges of the blocks; heads: the broadcast Heads."""
     context = made.sparkSession.sparkContext
-    found = grams(made).toArrow()
-    start = tables(found["key"].to_numpy(), found["n"].to_numpy().astype(float))
+    found, seen = grams(made, HEAD).toArrow(), heads.value.n > 0
+    start = tables(np.concatenate([found["key"].to_numpy(), heads.value.key[seen]]), np.concatenate([found["n"].to_numpy().astype(float), heads.value.n[seen]]))
     shared = context.broadcast(start)
     sizes = [g * len(ORDERS) for g in GATES]
 
@@ -463,6 +612,7 @@ def learn(made: DataFrame, known, lanes: int) -> Mixer:
         parts = max(1, -(-len(read.raw) // BYTES))
         order = np.argsort(read.word % parts, kind="stable")
         for some in np.split(order, np.cumsum(np.bincount(read.word % parts, minlength=parts))[:-1]):  # words spread over the block
+            some = some[read.place[some] >= read.start]
             if len(some):
                 whole, level = read.whole(some, totals, 1)
                 bits = read.bits(some, mixer.widths, level)
@@ -471,7 +621,7 @@ def learn(made: DataFrame, known, lanes: int) -> Mixer:
                 total[-1] += float(weight.sum())
         total[:-1] = np.concatenate([w.ravel() for w in mixer.weights]) * total[-1]
 
-    mean = _summed(made, sum(sizes) + 1, known, add_weights, lanes)
+    mean = _summed(made, sum(sizes) + 1, known, add_weights, lanes, heads)
     if mean[-1]:
         start.weights = [w.reshape(-1, len(ORDERS)) for w in np.split(mean[:-1] / mean[-1], [sizes[0]])]
     weights = context.broadcast(start.weights)
@@ -486,13 +636,33 @@ def learn(made: DataFrame, known, lanes: int) -> Mixer:
             found.append(mixer.place(bits, mixer.odds(bits, whole)[1]) + (bits[5] * (ROWS * STEPS)).astype(np.int64))
         total += np.bincount(np.concatenate(found), np.repeat(times[read.fresh], 8), len(total))
 
-    hits = _summed(made, 2 * ROWS * STEPS, known, add_map, lanes)
+    hits = _summed(made, 2 * ROWS * STEPS, known, add_map, lanes, heads)
     centre = 1 / (1 + np.exp(-(np.arange(STEPS) / 2 - 8)))
     prior = np.tile(centre, ROWS)
     start.refined = (hits[ROWS * STEPS :] + 4 * prior) / (hits[ROWS * STEPS :] + hits[: ROWS * STEPS] + 4)
     return start
 
 
+def price_heads(spark, model, heads) -> Priced:
+    """log10 of the probability of each head, all of them; model, heads: broadcast."""
+    size = len(heads.value.key)
+    parts = -(-size // HEADS)
+
+    def price(batches):
+        for batch in batches:
+            for i in batch.column("id").to_pylist():
+                some = np.arange(i * HEADS, min(size, (i + 1) * HEADS))
+                read, _, totals = heads.value.block(some)
+                yield pa.RecordBatch.from_arrays([pa.array(some), pa.array(model.value.prices(read, totals, len(some)))], names=["at", "price"])
+
+    if not size:
+        return Priced.of(heads.value.key, np.zeros(0))
+    got = spark.range(0, parts, 1, parts).mapInArrow(price, "at long, price double").toArrow()
+    out = np.empty(size)
+    out[got["at"].to_numpy()] = got["price"].to_numpy()
+    return Priced.of(heads.value.key, out)
+
+
 def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy: int = HEAVY) -> DataFrame:
     """doc_id, held_out, n_tokens, n_known, train_tokens, base_score, score, n_bytes and bits_per_byte of each row.
 
@@ -508,7 +678,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy
     made = blocks(counts)
     sides = edges(made.drop("words", "n", "every").toArrow().to_pylist())  # a row for BLOCK_WORDS words
     known = context.broadcast(sides)
-    model = context.broadcast(learn(made, known, max(1, len(sides) // LANE_BLOCKS)))
+    found = head_counts(rows).toArrow()
+    heads = context.broadcast(Heads.of(found["key"].to_numpy(), found["n"].to_numpy()))
+    model = context.broadcast(learn(made, known, max(1, len(sides) // LANE_BLOCKS), heads))
+    first = context.broadcast(price_heads(docs.sparkSession, model, heads))
 
     def priced(batches):
         for batch in batches:
@@ -516,7 +689,7 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy
                 words, n = batch.column("words")[i].as_py(), np.array(batch.column("n")[i].as_py(), float)
                 totals = context_counts([w + b"\xff" for w in words], n, *known.value[batch.column("id")[i].as_py()])
                 base = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
-                price = model.value.log10(words, totals)
+                price = model.value.log10(words, totals, HEAD)
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), batch.column("every")[i].values, pa.array(n > 0), pa.array(base), pa.array(price)], names=["word", "every", "known", "base", "model"])
 
     prices = cut(made.select("id", "words", "n", "every").mapInArrow(priced, "word binary, every long, known boolean, base double, model double"))
@@ -527,17 +700,19 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def split(batches):
-        prices = table.value
+        prices, starts = table.value, first.value
         for batch in batches:
             ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
             texts = batch.column("text").to_pylist()
             for part in chunks([len(t or "") for t in texts]):
-                heads: list[tuple] = []
+                summed: list[tuple] = []
+                split_texts = [tokens(t) for t in texts[part]]
+                keys, of = head_keys(split_texts)
+                opening = np.bincount(of, starts(keys), len(split_texts))  # what the first bytes of a text's words cost, in the order of the text
                 rare, times, sizes = [], [], []  # words that are joined, their numbers, and how many there are of each row
-                for doc_id, text, h in zip(ids[part], texts[part], held[part]):
+                for doc_id, text, h, every, begun in zip(ids[part], texts[part], held[part], split_texts, opening.tolist()):
                     copy = xxhash.xxh64_intdigest((text or "").encode()) - (1 << 63)
-                    every = tokens(text)
-                    known, base, model, left, before = 0, 0.0, 0.0, len(every) + 1, len(rare)
+                    known, base, model, left, before = 0, 0.0, begun, len(every) + 1, len(rare)
                     size = sum(map(len, every)) + len(every) + 1
                     every.append(b"")
                     for word, n in Counter(every).items():
@@ -550,12 +725,12 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy
                             base += n * p[1]
                             model += n * p[2]
                     sizes.append(len(rare) - before)
-                    heads.append((doc_id, copy, h, b" %d %d" % (doc_id or 0, copy), 1, left, known, base, model, size))  # no word has a space
-                first = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*heads), kinds)], names=names)
-                yield first
-                at = pa.array(np.repeat(np.arange(len(heads)), sizes))
+                    summed.append((doc_id, copy, h, b" %d %d" % (doc_id or 0, copy), 1, left, known, base, model, size))  # no word has a space
+                whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*summed), kinds)], names=names)
+                yield whole
+                at = pa.array(np.repeat(np.arange(len(summed)), sizes))
                 zero = np.zeros(len(rare))
-                rest = [first.column(i).take(at) for i in range(3)] + [pa.array(rare, pa.binary()), pa.array(zero.astype(np.int32)), pa.array(times, pa.int64()), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero), pa.array(zero.astype(np.int64))]
+                rest = [whole.column(i).take(at) for i in range(3)] + [pa.array(rare, pa.binary()), pa.array(zero.astype(np.int32)), pa.array(times, pa.int64()), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero), pa.array(zero.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(rest, names=names)
 
     # the only key is one long, so that rows are sorted without comparing words; bounds in place of equality, which would be a second key

@@ -709,3 +709,52 @@ def test_pipeline_stages_over_odd_rows(spark, odd, empty, tmp_path):
     assert hidden and not any(HEX40 in t for t in hidden.values())
     name, last = corpus_pipeline.STAGES[-1]
     assert {r.doc_id for r in last(spark, docs, str(tmp_path)).collect()} == set(range(12)) and last(spark, empty, str(tmp_path)).count() == 0
+
+
+def slow_heads(texts):
+    """By plain loops: of each word's first three bytes the byte and the four before it in the text, with its word so far."""
+    out = []
+    for i, text in enumerate(texts):
+        stream = [0, 0, 0, 255]
+        for word in [*context_mixing.tokens(text), b""]:
+            for place, byte in enumerate(word + b"\xff"):
+                stream.append(byte)
+                if place < 3:
+                    out.append((sum(stream[-1 - k] << 8 * k for k in range(5)), i, (word + b"\xff")[: place + 1]))
+    return out
+
+
+def test_contexts_reach_over_word_starts(spark):
+    """The bytes before a word's start are those of the words before; all are counted, and so word order changes a score."""
+    rng = random.Random(3)
+    texts = [" ".join("".join(rng.choice("abc\u00e9\0") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 9))) for _ in range(200)] + ["", None, " A  b\n"]
+    want = slow_heads(texts)
+    keys, of = context_mixing.head_keys([context_mixing.tokens(t) for t in texts])
+    assert Counter(zip(keys.tolist(), of.tolist())) == Counter((k, i) for k, i, _ in want)
+    held = [i % 5 == 1 for i in range(len(texts))]
+    found = context_mixing.head_counts(spark.createDataFrame(list(zip(texts, held)), "text string, held_out boolean").repartition(3)).toArrow()
+    n = Counter()
+    for k, i, _ in want:
+        n[k] += not held[i]
+    assert dict(zip(found["key"].to_pylist(), found["n"].to_pylist())) == n
+    heads, seen, name = context_mixing.Heads.of(found["key"].to_numpy(), found["n"].to_numpy()), Counter(), {}
+    for k, i, part in want:
+        bits, name[k] = "".join(f"{b:08b}" for b in part), part
+        for b in range(9):
+            seen[len(part), bits[: len(bits) - 8 + b]] += not held[i]
+    for k, row in zip(heads.key.tolist(), heads.counts[heads.at].tolist()):
+        bits = "".join(f"{b:08b}" for b in name[k])
+        assert row == [seen[len(name[k]), bits[: len(bits) - 8 + b]] for b in range(9)]
+    price = context_mixing.Priced.of(heads.key, np.arange(len(heads.key)) / 2)
+    assert price(heads.key[::-1]).tolist() == (np.arange(len(heads.key)) / 2)[::-1].tolist()
+    with pytest.raises(ValueError):
+        price(np.array([1 << 60]))
+    rows = [(i, " ".join(rng.choice(("river xu", "stone ka")) for _ in range(20))) for i in range(300)] + [(1000, "river xu stone ka " * 5), (1001, "river ka stone xu " * 5)]
+    got = {r.doc_id: r.score for r in context_mixing.score(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got[1000] > got[1001] + 5
+
+
+def test_lanes_learn_from_all_heads():
+    heads = context_mixing.Heads.of(np.array([(i << 16) | 0xFF00 | i % 250 for i in range(1000)]), np.ones(1000))
+    lanes = [heads.lane(k, 7).tolist() for k in range(7)]
+    assert sorted(sum(lanes, [])) == list(range(1000)) and all(lanes)
