@@ -33,7 +33,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfathom.llm.common import chunks, crc_mod, cut, lower_ascii
+from inkfathom.llm.common import CHUNK_BYTES, chunks, crc_mod, cut, lower_ascii
 
 HEAVY = 400_000
 #: Cells of the bit counts of one predictor, where nothing is known of the contexts; learn() gives SPARE cells to each distinct one.
@@ -243,51 +243,39 @@ def _log_odds(ones: np.ndarray, zeros: np.ndarray) -> np.ndarray:
     return np.log(((ones + 0.4) / (zeros + 0.4)).astype(np.float32))
 
 
-def head_keys(texts: list[list[bytes]]) -> tuple[np.ndarray, np.ndarray]:
-    """Of the first HEAD bytes of all closed words and ends of texts: each with the four bytes before it in the text as a key (see grams()), and its text's number.
+def stream(words: list[bytes]) -> bytes:
+    """A text as its closed words and end, after four bytes that stand for an end before it."""
+    return b"".join((b"\0\0\0\xff", b"\xff".join(words), b"\xff\xff" if words else b"\xff"))
 
-    The bytes before reach over the word's start: its end byte before it, then the words before, as far as they go. A text begins as after an end.
+
+def head_keys(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+    """Of the first HEAD bytes of all closed words and ends of streams: each with the four bytes before it as a key (see grams()), and its stream's number.
+
+    The bytes before reach over the word's start: its end byte before it, then the words before, as far as they go.
     """
-    parts = [b"\0\0\0\xff" + b"".join([w + b"\xff" for w in words]) + b"\xff" for words in texts]
-    raw = np.frombuffer(b"".join(parts), np.uint8)
-    sizes = np.fromiter(map(len, parts), np.int64, len(parts))
-    ends = np.cumsum(sizes)
+    data = b"".join([*streams, b"\0" * 8])
+    raw = np.frombuffer(data, np.uint8)[:-8]
+    ends = np.cumsum(np.fromiter(map(len, streams), np.int64, len(streams)))
     closed = raw == END_BYTE
     after = closed.copy()
     after[ends - 1] = False  # nothing follows the end of a text
-    at, found = np.flatnonzero(after) + 1, []
+    at, found, of = np.flatnonzero(after) + 1, [], []
     for _ in range(HEAD):
         found.append(at)
+        of.append(np.repeat(np.arange(len(ends)), np.diff(np.searchsorted(at, ends), prepend=0)))
         at = at[~closed[at]] + 1
-    at = np.concatenate(found)
-    key = np.zeros(len(at), np.int64)
-    for k in range(max(ORDERS) + 1):
-        key |= raw[at - k].astype(np.int64) << 8 * k
-    return key, np.searchsorted(ends, at, "right")
+    eight = np.ndarray(len(raw), ">u8", data, strides=(1,))  # the bytes from each place on
+    return (eight[np.concatenate(found) - 4].astype(np.uint64) >> np.uint64(24)).astype(np.int64), np.concatenate(of)
 
 
-def head_counts(rows: DataFrame) -> DataFrame:
-    """key (see head_keys()), n (in training rows; 0 of those in others only)."""
+def _merged(kept: list[tuple]) -> list[tuple]:
+    keys, at = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
+    return [(keys, np.bincount(at, np.concatenate([n for _, n in kept]), len(keys)).astype(np.int64))]
 
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        kept: list[tuple] = []
 
-        def merged():
-            keys, at = np.unique(np.concatenate([k for k, _ in kept]), return_inverse=True)
-            return keys, np.bincount(at, np.concatenate([n for _, n in kept]), len(keys))
-
-        for batch in batches:
-            texts, held = batch.column("text").to_pylist(), np.array(batch.column("held_out").to_pylist(), bool)
-            for part in chunks([len(t or "") for t in texts]):
-                keys, text = head_keys([tokens(t) for t in texts[part]])
-                each, at = np.unique(keys, return_inverse=True)
-                kept.append((each, np.bincount(at, ~held[part][text], len(each))))
-                kept = [merged()] if len(kept) >= 8 else kept
-        if kept:
-            keys, n = merged()
-            yield pa.RecordBatch.from_arrays([pa.array(keys), pa.array(n.astype(np.int64))], names=["key", "n"])
-
-    return rows.select("text", "held_out").mapInArrow(count, "key long, n long").groupBy("key").agg(F.sum("n").alias("n"))
+def head_counts(counts: DataFrame) -> DataFrame:
+    """key (see head_keys()), n (in training rows; 0 of those in others only) of what word_counts() found."""
+    return counts.where(IS_HEAD).select(F.conv(F.hex(F.substring("word", 2, 8)), 16, 10).cast("long").alias("key"), "n")
 
 
 def _mixed(key: np.ndarray, turn: int = 0) -> np.ndarray:
@@ -348,7 +336,7 @@ class Priced:
     def of(cls, key: np.ndarray, price: np.ndarray) -> Priced:
         slots, left = [], np.arange(len(key), dtype=np.int32)
         while len(left):
-            table = np.full(1 << max(4, int(np.ceil(np.log2(len(left) * 2)))), -1, np.int32)
+            table = np.full(1 << max(4, int(np.ceil(np.log2(len(left) * 4)))), -1, np.int32)
             s = cls.slot(key[left], len(slots), len(table))
             table[s] = left
             slots.append(table)
@@ -371,8 +359,12 @@ class Priced:
         return self.price[out]
 
 
+#: Rows of word_counts() that are heads: a space, which no word has, and the key.
+IS_HEAD = "startswith(word, X'20')"
+
+
 def word_counts(rows: DataFrame) -> DataFrame:
-    """word, n (in training rows), every (in all rows) of rows (text, held_out); the empty word is the end of a text."""
+    """word, n (in training rows), every (in all rows) of rows (text, held_out); the empty word is the end of a text. Heads are counted with them, see IS_HEAD."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         def pack(learned: Counter, rest: Counter) -> pa.RecordBatch:
@@ -381,15 +373,36 @@ def word_counts(rows: DataFrame) -> DataFrame:
 
         shape = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("more", pa.int64())])
         found = Counter(), Counter()
+        streams, kept, size = ([], []), ([], []), 0
+
+        def take() -> None:
+            for some, counted in zip(streams, kept):
+                if some:
+                    counted.append(np.unique(head_keys(some)[0], return_counts=True))
+                    some.clear()
+                    counted[:] = _merged(counted) if len(counted) >= 8 else counted
+
         for batch in batches:
             for text, held in zip(batch.column("text"), batch.column("held_out")):
-                c = found[held.as_py()]
-                c.update(tokens(text.as_py()))
+                is_held = held.as_py()
+                c, every = found[is_held], tokens(text.as_py())
+                c.update(every)
                 c[b""] += 1
+                streams[is_held].append(stream(every))
+                size += len(streams[is_held][-1])
+                if size > CHUNK_BYTES:
+                    take()
+                    size = 0
                 if len(found[0]) + len(found[1]) > COUNTED:
                     yield pack(*found)
                     found = Counter(), Counter()
+        take()
         yield pack(*found)
+        for at, counted in enumerate(kept):
+            if counted:
+                keys, n = _merged(counted)[0]
+                both = (n, np.zeros_like(n))
+                yield pa.RecordBatch.from_arrays([pa.array([b" " + k.to_bytes(8, "big") for k in keys.tolist()], pa.binary()), pa.array(both[at]), pa.array(both[1 - at])], schema=shape)
 
     made = rows.select("text", "held_out").mapInArrow(count, "word binary, n long, more long")
     return made.groupBy("word").agg(F.sum("n").alias("n"), F.sum(F.col("n") + F.col("more")).alias("every"))
@@ -672,13 +685,14 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy
     """
     context = docs.sparkSession.sparkContext
     rows = docs.select(F.col(id_col).cast("long").alias("doc_id"), F.col(text_col).alias("text"), F.coalesce(crc_mod(id_col, 5) == 1, F.lit(False)).alias("held_out"))
-    counts = cut(word_counts(rows))
+    counted = cut(word_counts(rows))
+    counts = counted.where(f"not {IS_HEAD}")
     sums = counts.agg(F.sum("n").alias("n"), F.sum("every").alias("every"), F.sum((F.col("n") > 0).cast("long")).alias("v")).first()
     total, distinct, every = sums.n or 0, sums.v or 0, sums.every or 0
     made = blocks(counts)
     sides = edges(made.drop("words", "n", "every").toArrow().to_pylist())  # a row for BLOCK_WORDS words
     known = context.broadcast(sides)
-    found = head_counts(rows).toArrow()
+    found = head_counts(counted).toArrow()
     heads = context.broadcast(Heads.of(found["key"].to_numpy(), found["n"].to_numpy()))
     model = context.broadcast(learn(made, known, max(1, len(sides) // LANE_BLOCKS), heads))
     first = context.broadcast(price_heads(docs.sparkSession, model, heads))
@@ -706,13 +720,13 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy
             texts = batch.column("text").to_pylist()
             for part in chunks([len(t or "") for t in texts]):
                 summed: list[tuple] = []
-                split_texts = [tokens(t) for t in texts[part]]
-                keys, of = head_keys(split_texts)
-                opening = np.bincount(of, starts(keys), len(split_texts))  # what the first bytes of a text's words cost, in the order of the text
+                streams = []
                 rare, times, sizes = [], [], []  # words that are joined, their numbers, and how many there are of each row
-                for doc_id, text, h, every, begun in zip(ids[part], texts[part], held[part], split_texts, opening.tolist()):
+                for doc_id, text, h in zip(ids[part], texts[part], held[part]):
                     copy = xxhash.xxh64_intdigest((text or "").encode()) - (1 << 63)
-                    known, base, model, left, before = 0, 0.0, begun, len(every) + 1, len(rare)
+                    every = tokens(text)
+                    streams.append(stream(every))
+                    known, base, model, left, before = 0, 0.0, 0.0, len(every) + 1, len(rare)
                     size = sum(map(len, every)) + len(every) + 1
                     every.append(b"")
                     for word, n in Counter(every).items():
@@ -726,7 +740,10 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy
                             model += n * p[2]
                     sizes.append(len(rare) - before)
                     summed.append((doc_id, copy, h, b" %d %d" % (doc_id or 0, copy), 1, left, known, base, model, size))  # no word has a space
-                whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(zip(*summed), kinds)], names=names)
+                columns = list(zip(*summed))
+                keys, of = head_keys(streams)
+                columns[8] = columns[8] + np.bincount(of, starts(keys), len(streams))  # what the first bytes of a text's words cost
+                whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
                 yield whole
                 at = pa.array(np.repeat(np.arange(len(summed)), sizes))
                 zero = np.zeros(len(rare))

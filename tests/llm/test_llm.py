@@ -729,10 +729,10 @@ def test_contexts_reach_over_word_starts(spark):
     rng = random.Random(3)
     texts = [" ".join("".join(rng.choice("abc\u00e9\0") for _ in range(rng.randint(1, 5))) for _ in range(rng.randint(0, 9))) for _ in range(200)] + ["", None, " A  b\n"]
     want = slow_heads(texts)
-    keys, of = context_mixing.head_keys([context_mixing.tokens(t) for t in texts])
+    keys, of = context_mixing.head_keys([context_mixing.stream(context_mixing.tokens(t)) for t in texts])
     assert Counter(zip(keys.tolist(), of.tolist())) == Counter((k, i) for k, i, _ in want)
     held = [i % 5 == 1 for i in range(len(texts))]
-    found = context_mixing.head_counts(spark.createDataFrame(list(zip(texts, held)), "text string, held_out boolean").repartition(3)).toArrow()
+    found = context_mixing.head_counts(context_mixing.word_counts(spark.createDataFrame(list(zip(texts, held)), "text string, held_out boolean").repartition(3))).toArrow()
     n = Counter()
     for k, i, _ in want:
         n[k] += not held[i]
