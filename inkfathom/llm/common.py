@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import atexit
+import contextlib
 import re
 import uuid
 from collections.abc import Callable, Iterator
@@ -59,6 +60,24 @@ CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 _tables: dict[str, SparkSession] = {}
 
 
+@contextlib.contextmanager
+def _cleaned(spark: SparkSession) -> Iterator[None]:
+    """What is planned meanwhile is executed with CLEANUP."""
+    before = spark.conf.get(CLEANUP, "false")
+    spark.conf.set(CLEANUP, "true")
+    try:
+        yield
+    finally:
+        spark.conf.set(CLEANUP, before)
+
+
+def collected(df: DataFrame) -> pa.Table:
+    """All rows, at the driver; their shuffle files go when they are there."""
+    with _cleaned(df.sparkSession):
+        planned = df.select("*")
+    return planned.toArrow()
+
+
 def cut(df: DataFrame) -> DataFrame:
     """The same rows, written as a Parquet table in the shared folder and read again: short lineage that outlives lost executors.
 
@@ -69,12 +88,8 @@ def cut(df: DataFrame) -> DataFrame:
     if not _tables:
         atexit.register(_drop_all)
     _tables[path] = spark
-    before = spark.conf.get(CLEANUP, "false")
-    spark.conf.set(CLEANUP, "true")
-    try:
+    with _cleaned(spark):
         df.write.parquet(path)
-    finally:
-        spark.conf.set(CLEANUP, before)
     made = spark.read.schema(df.schema).parquet(path)
     made._inkfathom = path
     return made

@@ -30,16 +30,18 @@ from dataclasses import dataclass
 import numpy as np
 import pyarrow as pa
 import xxhash
+from pyspark import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfathom.llm.common import CHUNK_BYTES, chunks, crc_mod, cut, lower_ascii
+from inkfathom.llm.common import CHUNK_BYTES, chunks, collected, crc_mod, cut, drop, lower_ascii
 
 HEAVY = 400_000
 #: Cells of the bit counts of one predictor, where nothing is known of the contexts; learn() gives SPARE cells to each distinct one.
 CELL_BITS = 17
 CELLS = 1 << CELL_BITS
 SPARE = 4
+WINDOWS, WINDOW_KEYS = 16, 1 << 16
 ORDERS = (1, 2, 3, 4, 0)  # 0: the whole word so far
 #: Words of a block of sorted words on average; bytes over which a word begins one; blocks that one learner of the weights has, on average.
 BLOCK_WORDS, LONG_WORD, LANE_BLOCKS = 4_000, 1_000, 16
@@ -190,6 +192,17 @@ class Mixer:
     def new(cls, ones: np.ndarray | list[np.ndarray], zeros: np.ndarray | list[np.ndarray]) -> Mixer:
         return cls([_log_odds(a, b) for a, b in zip(ones, zeros)], [np.full((g, len(ORDERS)), 0.35) for g in GATES])
 
+    def __getstate__(self) -> tuple:
+        """Of each table the cells that are not 0, and a bit for each cell that tells them: most stand for no context."""
+        return [(len(s), np.packbits(s != 0), s[s != 0]) for s in self.stretch], self.weights, self.refined
+
+    def __setstate__(self, state: tuple) -> None:
+        packed, self.weights, self.refined = state
+        self.stretch = []
+        for size, taken, odds in packed:
+            self.stretch.append(np.zeros(size, odds.dtype))
+            self.stretch[-1][np.unpackbits(taken, count=size).view(bool)] = odds
+
     @property
     def widths(self) -> list[int]:
         return [len(s).bit_length() - 1 for s in self.stretch]
@@ -562,7 +575,7 @@ def _summed(made: DataFrame, size: int, known, add, lanes: int, heads) -> np.nda
     every = made.sparkSession.range(lanes).select("id", (-1 - F.col("id")).alias("block"), F.lit(None).cast("array<binary>"), F.lit(None).cast("array<long>"))
     rows = made.select(lane.cast("long"), "id", "words", "n").union(every).groupBy("lane").applyInArrow(fill, "at int, v double").groupBy("at").agg(F.sum(F.round(F.col("v") * 1024).cast("long")).alias("v"))
     out = np.zeros(size)
-    table = rows.toArrow()  # size rows at most
+    table = collected(rows)  # size rows at most
     out[table["at"].to_numpy()] = table["v"].to_numpy() / 1024
     return out
 
@@ -595,26 +608,52 @@ def grams(made: DataFrame, start: int = 0) -> DataFrame:
 
 def tables(key: np.ndarray, n: np.ndarray) -> Mixer:
     """A mixer whose tables have SPARE cells or more for each distinct context of the keys, and their counts."""
-    ones, zeros = [], []
+    stretch = []
     for order in ORDERS:
         if order:
             part, at = np.unique(key & ((1 << 8 * (order + 1)) - 1), return_inverse=True)
             weight = np.bincount(at, n, len(part))
-            distinct = sum(len(np.unique(part >> k)) for k in range(1, 9))
-            width = max(8, int(np.ceil(np.log2(max(1, distinct) * SPARE))))
-            bit, node = _nodes((part & 255).astype(np.uint32))
-            before = np.stack([(part >> 8 * k & 255).astype(np.uint32) for k in range(order + 1)])
-            cells = _cells(_hashed(order, before), node, width).astype(np.int64)
-            both = np.bincount(cells * 2 + bit.ravel(), np.repeat(weight, 8), 2 << width)
-            ones.append(both[1::2])
-            zeros.append(both[::2])
-    return Mixer.new(ones, zeros)
-
-
-def learn(made: DataFrame, known, lanes: int, heads) -> Mixer:
+            distinct = sum(int(np.count_nonzero(np.diff(part >> k))) + 1 for k in range(1, 9)) if len(part) else 0
+            stretch.append(_table(order, part, weight, max(8, int(np.ceil(np.log2(max(1, distinct) * SPARE))))))
+    return Mixer(stretch, [np.full((g, len(ORDERS)), 0.35) for g in GATES])
+
+
+def _table(order: int, part: np.ndarray, weight: np.ndarray, width: int) -> np.ndarray:
+    """The log-odds of a predictor's cells. Ones and zeros are counted for one of WINDOWS parts of the cells after the other, as they take four times the memory of the log-odds."""
+    cells, size = np.empty(8 * len(part), np.uint32), (1 << width) // WINDOWS
+    for i in range(0, len(part), WINDOW_KEYS):
+        some = part[i : i + WINDOW_KEYS]
+        before = np.stack([(some >> 8 * k & 255).astype(np.uint32) for k in range(order + 1)])
+        cells[8 * i : 8 * (i + len(some))] = _cells(_hashed(order, before), _nodes(before[0])[1], width)
+    out = np.zeros(1 << width, np.float32)
+    for start in range(0, 1 << width, size):
+        here = np.flatnonzero((cells >= start) & (cells < start + size))
+        bit = part[here >> 3] >> (7 - (here & 7)) & 1
+        both = np.bincount((cells[here].astype(np.int64) - start) * 2 + bit, weight[here >> 3], 2 * size)
+        out[start : start + size] = _log_odds(both[1::2], both[::2])
+    return out
+
+
+@dataclass
+class Learned:
+    """Broadcast: the tables, and the weights and map that were learned over them. The tables are large, so they are sent once, before learning."""
+
+    tables: Broadcast
+    rest: Broadcast
+
+    @property
+    def value(self) -> Mixer:
+        return Mixer(self.tables.value.stretch, *self.rest.value)
+
+    def destroy(self) -> None:
+        self.tables.destroy()
+        self.rest.destroy()
+
+
+def learn(made: DataFrame, known, lanes: int, heads) -> Learned:
     """The model, from all words of blocks with n over 0 and the heads; known: the broadcast edges of the blocks; heads: the broadcast Heads."""
     context = made.sparkSession.sparkContext
-    found, seen = grams(made, HEAD).toArrow(), heads.value.n > 0
+    found, seen = collected(grams(made, HEAD)), heads.value.n > 0
     start = tables(np.concatenate([found["key"].to_numpy(), heads.value.key[seen]]), np.concatenate([found["n"].to_numpy().astype(float), heads.value.n[seen]]))
     shared = context.broadcast(start)
     sizes = [g * len(ORDERS) for g in GATES]
@@ -635,9 +674,10 @@ def learn(made: DataFrame, known, lanes: int, heads) -> Mixer:
         total[:-1] = np.concatenate([w.ravel() for w in mixer.weights]) * total[-1]
 
     mean = _summed(made, sum(sizes) + 1, known, add_weights, lanes, heads)
+    final = start.weights
     if mean[-1]:
-        start.weights = [w.reshape(-1, len(ORDERS)) for w in np.split(mean[:-1] / mean[-1], [sizes[0]])]
-    weights = context.broadcast(start.weights)
+        final = [w.reshape(-1, len(ORDERS)) for w in np.split(mean[:-1] / mean[-1], [sizes[0]])]
+    weights = context.broadcast(final)
 
     def add_map(block, total, state):
         read, n, totals = block
@@ -652,8 +692,8 @@ def learn(made: DataFrame, known, lanes: int, heads) -> Mixer:
     hits = _summed(made, 2 * ROWS * STEPS, known, add_map, lanes, heads)
     centre = 1 / (1 + np.exp(-(np.arange(STEPS) / 2 - 8)))
     prior = np.tile(centre, ROWS)
-    start.refined = (hits[ROWS * STEPS :] + 4 * prior) / (hits[ROWS * STEPS :] + hits[: ROWS * STEPS] + 4)
-    return start
+    refined = (hits[ROWS * STEPS :] + 4 * prior) / (hits[ROWS * STEPS :] + hits[: ROWS * STEPS] + 4)
+    return Learned(shared, context.broadcast((final, refined)))
 
 
 def price_heads(spark, model, heads) -> Priced:
@@ -694,19 +734,24 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy
     known = context.broadcast(sides)
     found = head_counts(counted).toArrow()
     heads = context.broadcast(Heads.of(found["key"].to_numpy(), found["n"].to_numpy()))
-    model = context.broadcast(learn(made, known, max(1, len(sides) // LANE_BLOCKS), heads))
+    drop(counted)
+    model = learn(made, known, max(1, len(sides) // LANE_BLOCKS), heads)
     first = context.broadcast(price_heads(docs.sparkSession, model, heads))
 
     def priced(batches):
+        mixer = model.value
         for batch in batches:
             for i in range(batch.num_rows):
                 words, n = batch.column("words")[i].as_py(), np.array(batch.column("n")[i].as_py(), float)
                 totals = context_counts([w + b"\xff" for w in words], n, *known.value[batch.column("id")[i].as_py()])
                 base = np.log10((n + 0.5) / (total + 0.5 * (distinct + 1)))
-                price = model.value.log10(words, totals, HEAD)
+                price = mixer.log10(words, totals, HEAD)
                 yield pa.RecordBatch.from_arrays([pa.array(words, pa.binary()), batch.column("every")[i].values, pa.array(n > 0), pa.array(base), pa.array(price)], names=["word", "every", "known", "base", "model"])
 
     prices = cut(made.select("id", "words", "n", "every").mapInArrow(priced, "word binary, every long, known boolean, base double, model double"))
+    drop(made)
+    for sent in (known, heads, model):  # all that follows is in prices and first
+        sent.destroy()
     often = prices.where(F.col("every") * heavy >= every).toArrow()  # heavy rows at most
     table = context.broadcast({w: (int(k), b, m) for w, k, b, m in zip(*(often[c].to_pylist() for c in ("word", "known", "base", "model")))})
     schema = "doc_id long, copy long, held_out boolean, word binary, heads int, n_tokens long, n_known long, base double, model double, n_bytes long"

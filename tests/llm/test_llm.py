@@ -3,8 +3,10 @@
 import bisect
 import hashlib
 import math
+import pickle
 import random
 import re
+import tracemalloc
 import zlib
 from collections import Counter
 
@@ -758,3 +760,30 @@ def test_lanes_learn_from_all_heads():
     heads = context_mixing.Heads.of(np.array([(i << 16) | 0xFF00 | i % 250 for i in range(1000)]), np.ones(1000))
     lanes = [heads.lane(k, 7).tolist() for k in range(7)]
     assert sorted(sum(lanes, [])) == list(range(1000)) and all(lanes)
+
+
+def test_tables_take_little_more_than_themselves():
+    """Against counts of all cells at once, whose memory the driver cannot hold; sent, the cells of no context take little."""
+    rng = np.random.default_rng(21)
+    keys = np.unique(rng.integers(0, 1 << 40, 100_000))
+    n = rng.integers(1, 9, len(keys)).astype(float)
+    tracemalloc.start()
+    mixer = context_mixing.tables(keys, n)
+    size, peak = sum(s.nbytes for s in mixer.stretch), tracemalloc.get_traced_memory()[1]
+    tracemalloc.stop()
+    assert peak < 3 * size
+    for order, stretch in zip(context_mixing.ORDERS, mixer.stretch):
+        before = np.stack([(keys >> 8 * k & 255).astype(np.uint32) for k in range(order + 1)])
+        bit, node = context_mixing._nodes(before[0])
+        cells = context_mixing._cells(context_mixing._hashed(order, before), node, len(stretch).bit_length() - 1)
+        ones, zeros = (np.bincount(cells, np.repeat(n, 8) * (bit.ravel() == b), len(stretch)) for b in (1, 0))
+        assert np.array_equal(stretch, context_mixing._log_odds(ones, zeros))
+    sent = pickle.dumps(mixer, protocol=5)
+    assert len(sent) < size / 2 and all(np.array_equal(a, b) for a, b in zip(pickle.loads(sent).stretch, mixer.stretch))
+
+
+def test_tables_of_a_score_go_when_they_are_read(spark, docs):
+    """Only the prices are left, which the result reads."""
+    before = set(common._tables)
+    got = context_mixing.score(docs)
+    assert len(set(common._tables) - before) == 1 and got.count() == docs.count()
