@@ -23,12 +23,12 @@ and none of them is frequent enough to make a hot key.
 from __future__ import annotations
 
 import bisect
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 import xxhash
 from pyspark import Broadcast
 from pyspark.sql import DataFrame
@@ -48,8 +48,8 @@ BLOCK_WORDS, LONG_WORD, LANE_BLOCKS = 4_000, 1_000, 16
 PLACES, END_BYTE = 16, 255
 HEADS = 100_000  # different first bytes that are learned from at once, at most about so many
 RATE = 0.02  # of the mean gradient of a gate
-#: Different words that a task counts before it passes them on, and bytes of words that are worked on at once.
-COUNTED, BYTES = 300_000, 1_500
+#: Bytes of text whose words a task counts before it passes them on, and bytes of words that are worked on at once.
+COUNTED, BYTES = 8_000_000, 1_500
 STEPS = 33
 #: Bytes of a word whose contexts reach over its start: at a later place the longest, of four bytes, holds the word's bytes and the end before it, which is always the same.
 HEAD = 3
@@ -261,6 +261,16 @@ def stream(words: list[bytes]) -> bytes:
     return b"".join((b"\0\0\0\xff", b"\xff".join(words), b"\xff\xff" if words else b"\xff"))
 
 
+def closed_words(streams: list[bytes]) -> tuple[pa.Array, np.ndarray]:
+    """All closed words and ends of streams, and the number of each one's stream; what stands before a stream's first word is an item too, of number -1."""
+    data = b"".join(streams)
+    last = np.flatnonzero(np.frombuffer(data, np.uint8) == END_BYTE) + 1
+    ends = np.cumsum(np.fromiter(map(len, streams), np.int64, len(streams)))
+    of = np.searchsorted(ends, last)
+    of[np.diff(of, prepend=-1) > 0] = -1
+    return pa.Array.from_buffers(pa.binary(), len(last), [None, pa.py_buffer(np.append(0, last).astype(np.int32)), pa.py_buffer(data)]), of
+
+
 def head_keys(streams: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
     """Of the first HEAD bytes of all closed words and ends of streams: each with the four bytes before it as a key (see grams()), and its stream's number.
 
@@ -380,37 +390,40 @@ def word_counts(rows: DataFrame) -> DataFrame:
     """word, n (in training rows), every (in all rows) of rows (text, held_out); the empty word is the end of a text. Heads are counted with them, see IS_HEAD."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        def pack(learned: Counter, rest: Counter) -> pa.RecordBatch:
-            names = sorted({*learned, *rest})
-            return pa.RecordBatch.from_pydict({"word": names, "n": [learned[w] for w in names], "more": [rest[w] for w in names]}, schema=shape)
-
         shape = pa.schema([("word", pa.binary()), ("n", pa.int64()), ("more", pa.int64())])
-        found = Counter(), Counter()
-        streams, kept, size = ([], []), ([], []), 0
+        streams, kept, found = ([], []), ([], []), []
+        size = waiting = 0
 
         def take() -> None:
-            for some, counted in zip(streams, kept):
+            for held, (some, counted) in enumerate(zip(streams, kept)):
                 if some:
                     counted.append(np.unique(head_keys(some)[0], return_counts=True))
+                    every, of = closed_words(some)
+                    found.append((every, np.where(of < 0, 2, held).astype(np.int8)))
                     some.clear()
                     counted[:] = _merged(counted) if len(counted) >= 8 else counted
 
+        def pack() -> pa.RecordBatch:
+            every = pa.concat_arrays([words for words, _ in found]).dictionary_encode()
+            times = np.bincount(every.indices.to_numpy() * np.int64(3) + np.concatenate([kind for _, kind in found]), minlength=3 * len(every.dictionary)).reshape(-1, 3)
+            found.clear()
+            some = np.flatnonzero(times[:, :2].any(axis=1))
+            words = pc.binary_slice(every.dictionary.take(pa.array(some)), 0, -1)
+            return pa.RecordBatch.from_arrays([words, pa.array(times[some, 0]), pa.array(times[some, 1])], schema=shape)
+
         for batch in batches:
             for text, held in zip(batch.column("text"), batch.column("held_out")):
-                is_held = held.as_py()
-                c, every = found[is_held], tokens(text.as_py())
-                c.update(every)
-                c[b""] += 1
-                streams[is_held].append(stream(every))
-                size += len(streams[is_held][-1])
+                streams[held.as_py()].append(made := stream(tokens(text.as_py())))
+                size += len(made)
                 if size > CHUNK_BYTES:
                     take()
-                    size = 0
-                if len(found[0]) + len(found[1]) > COUNTED:
-                    yield pack(*found)
-                    found = Counter(), Counter()
+                    size, waiting = 0, waiting + size
+                if waiting > COUNTED:
+                    yield pack()
+                    waiting = 0
         take()
-        yield pack(*found)
+        if found:
+            yield pack()
         for at, counted in enumerate(kept):
             if counted:
                 keys, n = _merged(counted)[0]
@@ -753,46 +766,39 @@ def score(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", heavy
     for sent in (known, heads, model):  # all that follows is in prices and first
         sent.destroy()
     often = prices.where(F.col("every") * heavy >= every).toArrow()  # heavy rows at most
-    table = context.broadcast({w: (int(k), b, m) for w, k, b, m in zip(*(often[c].to_pylist() for c in ("word", "known", "base", "model")))})
+    table = context.broadcast((often["word"].combine_chunks(), *(often[c].to_numpy().astype(float) for c in ("known", "base", "model"))))
     schema = "doc_id long, copy long, held_out boolean, word binary, heads int, n_tokens long, n_known long, base double, model double, n_bytes long"
     kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.binary(), pa.int32(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64()]
     names = [f.split(" ")[0] for f in schema.split(", ")]
 
     def split(batches):
-        prices, starts = table.value, first.value
+        (numbered, *often), starts = table.value, first.value
         for batch in batches:
-            ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out").to_pylist()
+            ids, held = batch.column("doc_id").to_pylist(), batch.column("held_out")
             texts = batch.column("text").to_pylist()
             for part in chunks([len(t or "") for t in texts]):
-                summed: list[tuple] = []
-                streams = []
-                rare, times, sizes = [], [], []  # words that are joined, their numbers, and how many there are of each row
-                for doc_id, text, h in zip(ids[part], texts[part], held[part]):
-                    copy = xxhash.xxh64_intdigest((text or "").encode()) - (1 << 63)
-                    every = tokens(text)
-                    streams.append(stream(every))
-                    known, base, model, left, before = 0, 0.0, 0.0, len(every) + 1, len(rare)
-                    size = sum(map(len, every)) + len(every) + 1
-                    every.append(b"")
-                    for word, n in Counter(every).items():
-                        if (p := prices.get(word)) is None:
-                            rare.append(word)
-                            times.append(n)
-                            left -= n
-                        else:
-                            known += n * p[0]
-                            base += n * p[1]
-                            model += n * p[2]
-                    sizes.append(len(rare) - before)
-                    summed.append((doc_id, copy, h, b" %d %d" % (doc_id or 0, copy), 1, left, known, base, model, size))  # no word has a space
-                columns = list(zip(*summed))
-                keys, of = head_keys(streams)
-                columns[8] = columns[8] + np.bincount(of, starts(keys), len(streams))  # what the first bytes of a text's words cost
-                whole = pa.RecordBatch.from_arrays([pa.array(c, k) for c, k in zip(columns, kinds)], names=names)
+                size = part.stop - part.start
+                copies = [xxhash.xxh64_intdigest((t or "").encode()) - (1 << 63) for t in texts[part]]
+                streams = [stream(tokens(t)) for t in texts[part]]
+                every, of = closed_words(streams)
+                every, own = every.dictionary_encode(), of >= 0
+                words = pc.binary_slice(every.dictionary, 0, -1)
+                number = pc.fill_null(pc.index_in(words, numbered), -1).to_numpy()
+                pairs, seen, times = np.unique(of[own] * len(words) + every.indices.to_numpy()[own], return_index=True, return_counts=True)
+                order = np.argsort(seen)  # a text's different words as they first stand in it, so that sums have one order however the rows are stored
+                (row, word), times = np.divmod(pairs[order], len(words)), times[order]
+                number = number[word]
+                rare = number < 0  # words that are joined
+                known, base, model = (np.bincount(row[~rare], times[~rare] * price[number[~rare]], size) for price in often)
+                keys, head_of = head_keys(streams)
+                model = model + np.bincount(head_of, starts(keys), size)  # what the first bytes of a text's words cost
+                left = np.bincount(row[~rare], times[~rare], size)
+                names_of = [b" %d %d" % (doc_id or 0, copy) for doc_id, copy in zip(ids[part], copies)]  # no word has a space
+                columns = [ids[part], copies, held.slice(part.start, size), names_of, np.ones(size), left, known, base, model, [len(s) - 4 for s in streams]]
+                whole = pa.RecordBatch.from_arrays([c if isinstance(c, pa.Array) else pa.array(c, k) if isinstance(c, list) else pa.array(c).cast(k) for c, k in zip(columns, kinds)], names=names)
                 yield whole
-                at = pa.array(np.repeat(np.arange(len(summed)), sizes))
-                zero = np.zeros(len(rare))
-                rest = [whole.column(i).take(at) for i in range(3)] + [pa.array(rare, pa.binary()), pa.array(zero.astype(np.int32)), pa.array(times, pa.int64()), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero), pa.array(zero.astype(np.int64))]
+                at, zero = pa.array(row[rare]), np.zeros(int(rare.sum()))
+                rest = [whole.column(i).take(at) for i in range(3)] + [words.take(pa.array(word[rare])), pa.array(zero.astype(np.int32)), pa.array(times[rare].astype(np.int64)), pa.array(zero.astype(np.int64)), pa.array(zero), pa.array(zero), pa.array(zero.astype(np.int64))]
                 yield pa.RecordBatch.from_arrays(rest, names=names)
 
     # the only key is one long, so that rows are sorted without comparing words; bounds in place of equality, which would be a second key

@@ -787,3 +787,23 @@ def test_tables_of_a_score_go_when_they_are_read(spark, docs):
     before = set(common._tables)
     got = context_mixing.score(docs)
     assert len(set(common._tables) - before) == 1 and got.count() == docs.count()
+
+
+def test_words_are_counted_in_parts(spark, monkeypatch):
+    """Against plain counts, with a part for every few texts; NULs are words, though they also stand before a stream's first word."""
+    rng = random.Random(8)
+    texts = [" ".join(rng.choice(("a", "B", "\0\0\0", "\u00e9\u00ff", "\xa0", "w" * 30)) for _ in range(rng.randint(0, 9))) for _ in range(300)] + ["", None, " \n"]
+    held = [i % 5 == 1 for i in range(len(texts))]
+    want = Counter()
+    for i, (text, h) in enumerate(zip(texts, held)):
+        for word in [*context_mixing.tokens(text), b""]:
+            want[word, "every"] += 1
+            want[word, "n"] += not h
+    streams = [context_mixing.stream(context_mixing.tokens(t)) for t in texts]
+    words, of = context_mixing.closed_words(streams)
+    assert [(w, i) for w, i in zip(words.to_pylist(), of.tolist()) if i >= 0] == [(w + b"\xff", i) for i, t in enumerate(texts) for w in [*context_mixing.tokens(t), b""]]
+    monkeypatch.setattr(context_mixing, "CHUNK_BYTES", 50)
+    monkeypatch.setattr(context_mixing, "COUNTED", 200)
+    frame = spark.createDataFrame(list(zip(texts, held)), "text string, held_out boolean").repartition(3)
+    got = context_mixing.word_counts(frame).where(f"not {context_mixing.IS_HEAD}").collect()
+    assert {(bytes(r.word), "every"): r.every for r in got} | {(bytes(r.word), "n"): r.n for r in got} == want
