@@ -21,6 +21,8 @@ SPACES = re.compile(r"[\x20\x09-\x0D]+")
 WORD_SPLIT = r"[\x20\x09-\x0D]+"
 #: Bytes of text that a Python worker turns at once; bounds its memory whatever the batch.
 CHUNK_BYTES = 2_000_000
+#: Rows of a few numbers that fill a file of cut().
+ROWS_A_FILE = 20_000
 
 _LOWER = bytes(range(65)) + bytes(range(97, 123)) + bytes(range(91, 256))
 
@@ -95,6 +97,19 @@ def cut(df: DataFrame) -> DataFrame:
     return made
 
 
+def few_files(df: DataFrame, rows: int) -> DataFrame:
+    """df of about so many narrow rows, in no more partitions than these fill, and one for each core.
+
+    A small table has as few files then, however many partitions a shuffle has. Where Hadoop has no native library each file of a local folder takes
+    forks of the executor's JVM to run chmod, and each holds the JVM's memory until chmod starts.
+    """
+    return df.coalesce(files_for(df.sparkSession, rows))
+
+
+def files_for(spark: SparkSession, rows: int) -> int:
+    return max(spark.sparkContext.defaultParallelism, -(-rows // ROWS_A_FILE))
+
+
 def drop(*tables: DataFrame | None) -> None:
     """Removes the tables of cut() that nothing reads any more."""
     for df in tables:

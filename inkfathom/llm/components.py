@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfathom.llm.common import cut, drop
+from inkfathom.llm.common import cut, drop, few_files
 
 
 def _star(edges: DataFrame, both: bool) -> DataFrame:
@@ -23,8 +23,8 @@ def _star(edges: DataFrame, both: bool) -> DataFrame:
 
 
 def smallest_reachable(edges: DataFrame, nodes: DataFrame, most_rounds: int = 60) -> DataFrame:
-    """node, smallest: the least rank of the nodes in a node's component. edges: a, b; nodes: node (unique), rank."""
-    stars = cut(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    """node, smallest: the least rank of the nodes in a node's component. edges: a, b, a stored table, may repeat; nodes: node (unique), rank."""
+    stars = cut(few_files(edges.where("a <> b").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct(), edges.count()))
     state = None
     for _ in range(most_rounds):
         now = stars.agg(F.count("*").alias("n"), F.sum(F.xxhash64("a", "b").cast("decimal(38,0)")).alias("h")).first()
@@ -33,7 +33,7 @@ def smallest_reachable(edges: DataFrame, nodes: DataFrame, most_rounds: int = 60
         state = (now.n, now.h)
         if not now.n:
             break
-        before, stars = stars, cut(_star(_star(stars, True), False))
+        before, stars = stars, cut(few_files(_star(_star(stars, True), False), now.n))
         drop(before)
     else:
         raise RuntimeError("the components did not settle")

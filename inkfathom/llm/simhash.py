@@ -28,7 +28,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from inkfathom.llm.common import cut, drop, lower_ascii, map_texts
+from inkfathom.llm.common import cut, drop, few_files, files_for, lower_ascii, map_texts
 from inkfathom.llm.components import smallest_reachable
 
 RADIUS = 3
@@ -140,17 +140,18 @@ def _meet(table: pa.Table) -> pa.Table:
 
 
 def links(fps: DataFrame) -> DataFrame:
-    """Edges a, b between distinct fingerprints (column fp), all within RADIUS bits, whose components are those of all such pairs."""
-    tasks = int(fps.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    dealt = cut(fps.repartition(tasks, F.xxhash64("fp")))  # each row grows a thousandfold
+    """Edges a, b between distinct fingerprints (column fp), all within RADIUS bits, whose components are those of all such pairs. Edges may repeat."""
+    spark = fps.sparkSession
+    rows = fps.count()
+    dealt = cut(fps.repartition(files_for(spark, rows)))  # each row grows a thousandfold
     average = len(NEAR) + len(FAR) / 2
-    buckets = max(tasks, round(dealt.count() * average * PACKED / PASSES / BUCKET_BYTES))
-    found = [cut(emitted(dealt, turn, buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long")) for turn in range(PASSES)]
+    buckets = max(int(spark.conf.get("spark.sql.shuffle.partitions")), round(rows * average * PACKED / PASSES / BUCKET_BYTES))
+    found = [cut(few_files(emitted(dealt, turn, buckets).groupBy("bucket").applyInArrow(_meet, "a long, b long").distinct(), rows)) for turn in range(PASSES)]
     every = found[0]
     for more in found[1:]:
         every = every.union(more)
     drop(dealt)
-    return every.distinct()
+    return every
 
 
 def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -161,9 +162,11 @@ def near_duplicates(docs: DataFrame, id_col: str = "doc_id", text_col: str = "te
     all of its rows lack one. An empty table gives no rows; other columns are not read, so their names do not matter.
     """
     made = cut(fingerprints(docs, id_col, text_col))
-    firsts = cut(made.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")))
+    rows = made.count()
+    firsts = cut(few_files(made.groupBy(F.col("fingerprint").alias("fp")).agg(F.min("doc_id").alias("first")), rows))
     edges = links(firsts.select("fp"))
     reached = smallest_reachable(edges, firsts.withColumnRenamed("fp", "node").withColumnRenamed("first", "rank"))
-    return made.join(reached.select(F.col("node").alias("fingerprint"), F.col("smallest").alias("component_id")), "fingerprint").select(
+    found = made.join(reached.select(F.col("node").alias("fingerprint"), F.col("smallest").alias("component_id")), "fingerprint").select(
         "doc_id", F.lpad(F.lower(F.hex("fingerprint")), 16, "0").alias("fingerprint"), "component_id"
     )
+    return few_files(found, rows)

@@ -17,7 +17,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from inkfathom.llm import common, context_mixing, language, line_dedup, near_texts, packing, progressive_jpeg, quality_classifier, quality_rules, secrets, sentencepiece_bpe, simhash, subword
+from inkfathom.llm import common, components, context_mixing, language, line_dedup, near_texts, packing, progressive_jpeg, quality_classifier, quality_rules, secrets, sentencepiece_bpe, simhash, subword
 from inkfathom.llm.queries import BYTE_BPE, PIECE_BPE
 
 SCHEMA = "doc_id long, text string, lang string, source string, n_chars long, score string, copy string"
@@ -317,6 +317,31 @@ def test_simhash(spark, odd, empty, docs):
                 assert root(a) == root(b)
 
 
+def test_components_of_few_texts_make_few_files(spark, docs, monkeypatch):
+    """Small tables have a file for each core at most, however many partitions a shuffle has; results are the same."""
+    files, cut = [], common.cut
+
+    def counted(df):
+        made = cut(df)
+        files.append(len(made.inputFiles()))
+        return made
+
+    for module in (simhash, components):
+        monkeypatch.setattr(module, "cut", counted)
+    before = {k: spark.conf.get(k) for k in ("spark.sql.shuffle.partitions", "spark.sql.adaptive.coalescePartitions.enabled")}
+    try:
+        spark.conf.set("spark.sql.shuffle.partitions", "23")
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+        found = simhash.near_duplicates(docs)
+        got = Counter((r.doc_id, r.component_id) for r in found.collect())
+        cores = spark.sparkContext.defaultParallelism
+        assert len(files) >= 7 and max(files) <= cores and found.rdd.getNumPartitions() <= cores
+    finally:
+        for k, v in before.items():
+            spark.conf.set(k, v)
+    assert got == brute_components([(r.doc_id, simhash.fingerprint(r.text)) for r in docs.collect()])
+
+
 def test_keep_first_keeps_one_row_of_each_group(spark, odd, empty, docs):
     a, b, c, d, e = (" ".join(f"{x}{i}" for i in range(40)) for x in "abcde")
     rows = [(None, a), (5, a), (None, b), (None, c), (None, c), (7, d), (7, d), (7, a), (8, d), (9, e), (9, e.upper()), (None, None), (3, " \n"), (4, "")]
