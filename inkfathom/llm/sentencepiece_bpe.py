@@ -5,17 +5,19 @@ an earlier one within it. So a table holds each prefix's last token: an automato
 and of those the right one is the one whose pair with the last token of the prefix before it stays two tokens when
 merged alone. The ids are then read backwards from the end of the table.
 
-No piece holds a word mark behind another character, so merges never cross from a word to the next mark and a text is
-encoded word by word. Words recur, so each worker keeps those it has seen, up to a bound.
+No piece goes over two characters that stand side by side in none, a word's last and the next word mark among them, so a text is
+cut there and encoded part by part. The texts of a batch are cut and their parts made different in numpy and Arrow, only different parts
+are looked up or encoded in Python, and Arrow lays their ids out along the texts. Parts recur, so each worker keeps those it has seen, up to a bound.
 """
 
 from __future__ import annotations
 
 import hashlib
-import re
 from functools import cache
 
 import ahocorasick
+import numpy as np
+import pyarrow as pa
 import sentencepiece
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -23,8 +25,10 @@ from pyspark.sql import functions as F
 from inkfathom.llm.common import map_texts
 
 MARK = "▁"
-#: Words kept by a worker, and the longest that is kept (characters).
-KEPT, KEPT_CHARS = 300_000, 48
+#: Parts kept by a worker, and the longest that is kept (bytes).
+KEPT, KEPT_BYTES = 300_000, 64
+#: Characters whose neighbours are looked up at once.
+SLICE = 1 << 18
 
 
 class PieceModel:
@@ -53,12 +57,19 @@ class PieceModel:
             if len(piece) == 1 or self.halves[piece]:
                 self.automaton.add_word(piece, (len(piece), piece, self.ids[piece] + 1))
         self.automaton.make_automaton()
-        #: Of each piece its id in decimal and the bytes it decodes to.
-        self.out = {p: (str(i), 1, p.replace(MARK, " ").encode()) for p, i in self.ids.items()}
-        self.joints = {p[i : i + 2] for p in self.ids for i in range(len(p) - 1)}
+        #: Of each piece its id in decimal, with a space behind it, and the bytes it decodes to.
+        self.out = {p: (b"%d " % i, 1, p.replace(MARK, " ").encode()) for p, i in self.ids.items()}
+        joints = {p[i : i + 2].replace(MARK, " ") for p in self.ids for i in range(len(p) - 1)}
+        chars = sorted({c for j in joints for c in j})
+        #: A number for each character of pieces of two or more, zero for all others, and whether two of them stand side by side in a piece.
+        self.number = np.zeros(0x110000, np.uint16)
+        self.number[[ord(c) for c in chars]] = np.arange(1, len(chars) + 1)
+        self.joined = np.zeros((len(chars) + 1, len(chars) + 1), bool)
+        for a, b in joints:
+            self.joined[self.number[ord(a)], self.number[ord(b)]] = True
         self.stays: dict[int, bool] = {}
-        self.kept: dict[str, tuple[str, int, bytes]] = {}
-        self.older: dict[str, tuple[str, int, bytes]] = {}
+        self.kept: dict[bytes, tuple[bytes, int, bytes]] = {}
+        self.older: dict[bytes, tuple[bytes, int, bytes]] = {}
 
     def merged(self, text: str) -> list[str]:
         """Pieces by the definition: the pair of the best score, leftmost first, is merged until none is left. For short texts."""
@@ -132,44 +143,65 @@ class PieceModel:
             i -= len(table[i])
         return out[::-1]
 
-    def unit(self, unit: str) -> tuple[str, int, bytes]:
-        """Of a word with its marks: its ids in decimal with spaces between, their number, and the bytes they decode to."""
-        if known := self.kept.get(unit):
-            return known
-        if known := self.older.get(unit):
-            self.kept[unit] = known
-            return known
-        joints = self.joints
-        cuts = [i for i in range(1, len(unit)) if unit[i - 1 : i + 1] not in joints]  # no piece goes over these places
-        if cuts:
-            parts = [self.unit(unit[i:j]) for i, j in zip([0, *cuts], [*cuts, len(unit)])]
-        else:
-            parts = [self.out.get(t) or self.spelled(t) for t in self.tokens(unit)]
-        made = " ".join([p[0] for p in parts]), sum([p[1] for p in parts]), b"".join([p[2] for p in parts])
-        if len(unit) <= KEPT_CHARS:
-            if len(self.kept) >= KEPT // 2:  # words that recur move to the new table
+    def part(self, part: bytes) -> tuple[bytes, int, bytes]:
+        """Of a part, with spaces for marks: its ids in decimal with a space behind each, their number, and the bytes they decode to."""
+        if (made := self.older.get(part)) is None:
+            out = self.out
+            made = [out.get(t) or self.spelled(t) for t in self.tokens(part.decode().replace(" ", MARK))]
+            made = made[0] if len(made) == 1 else (b"".join([m[0] for m in made]), sum([m[1] for m in made]), b"".join([m[2] for m in made]))
+        if len(part) <= KEPT_BYTES:
+            if len(self.kept) >= KEPT // 2:  # parts that recur move to the new table
                 self.kept, self.older = {}, self.kept
-            self.kept[unit] = made
+            self.kept[part] = made
         return made
 
-    def spelled(self, char: str) -> tuple[str, int, bytes]:
-        """As unit(), for a character without a piece: its bytes, or the unknown id of a model without bytes."""
+    def spelled(self, char: str) -> tuple[bytes, int, bytes]:
+        """As part(), for a character without a piece: its bytes, or the unknown id of a model without bytes."""
         if not self.byte_id:
-            return str(self.unk), 1, " \u2047 ".encode()
-        return " ".join(str(self.byte_id[b]) for b in char.encode()), len(char.encode()), char.encode()
-
-    def units(self, text: str) -> list[str]:
-        """Words, each with the marks before it; a mark stands for a space and one goes before the text."""
-        if not text:
-            return []
-        parts = text.replace(MARK, " ").split(" ")
-        if "" not in parts:
-            return [MARK + p for p in parts]
-        return re.findall(f"{MARK}+[^{MARK}]*", MARK + MARK.join(parts))
+            return b"%d " % self.unk, 1, " \u2047 ".encode()
+        data = char.encode()
+        return b"".join([b"%d " % self.byte_id[b] for b in data]), len(data), data
+
+    def parts(self, texts: list[str | None]) -> tuple[pa.Array, np.ndarray]:
+        """The parts of all texts in their order, with spaces for marks, and the number of parts before each text and after the last.
+
+        A mark stands for a space and one goes before each text that is not empty.
+        """
+        whole = "".join([" " + t for t in texts if t]).replace(MARK, " ")
+        edges = np.cumsum([0, *(len(t) + 1 if t else 0 for t in texts)])
+        begins = np.ones(len(whole) + 1, bool)
+        for i in range(0, len(whole) - 1, SLICE):  # a long text takes little more than itself
+            number = self.number[np.frombuffer(whole[i : i + SLICE + 1].encode("utf-32-le"), np.uint32)]
+            begins[i + 1 : i + len(number)] = ~self.joined[number[:-1], number[1:]]
+        begins[edges] = True
+        at = np.flatnonzero(begins)
+        data = np.frombuffer(whole.encode(), np.uint8)
+        places = at if len(data) == len(whole) else np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))[at]
+        return pa.Array.from_buffers(pa.large_binary(), len(at) - 1, [None, pa.py_buffer(places.astype(np.int64)), pa.py_buffer(data)]), np.searchsorted(at, edges)
+
+    def laid_out(self, texts: list[str | None]) -> tuple[list[int], list[memoryview], list[memoryview]]:
+        """Of each text the number of its ids, the ids in decimal with a space behind each, and the bytes they decode to; without the end id."""
+        parts, edges = self.parts(texts)
+        coded = parts.dictionary_encode()
+        different = coded.dictionary.to_pylist()
+        made = [known or self.part(p) for p, known in zip(different, map(self.kept.get, different))]
+        sums = np.append(0, np.cumsum(np.array([m[1] for m in made], np.int64)[coded.indices.to_numpy()]))[edges]
+        out = []
+        for column in (0, 2):
+            laid = pa.array([m[column] for m in made], pa.large_binary()).take(coded.indices)
+            _, places, data = laid.buffers()
+            ends = (np.frombuffer(places, np.int64)[laid.offset + edges] if len(laid) else np.zeros(len(edges), np.int64)).tolist()
+            view = memoryview(data or b"")
+            out.append([view[i:j] for i, j in zip(ends, ends[1:])])
+        return np.diff(sums).tolist(), out[0], [v[v[:1] == b" " :] for v in out[1]]
+
+    def encode_all(self, texts: list[str | None]) -> list[list[int]]:
+        """Ids of each text with the end id."""
+        return [[*map(int, bytes(ids).split()), self.eos] for ids in self.laid_out(texts)[1]]
 
     def encode(self, text: str | None) -> list[int]:
         """Ids with the end id."""
-        return [int(i) for u in self.units(text or "") for i in self.unit(u)[0].split()] + [self.eos]
+        return self.encode_all([text])[0]
 
     def decode(self, ids: list[int]) -> str:
         """Pieces joined with marks as spaces, bytes joined to UTF-8, and the space that goes before a text taken away."""
@@ -184,16 +216,14 @@ def model(path: str) -> PieceModel:
 
 def _digests(columns: dict[str, list], path: str) -> dict[str, list]:
     m = model(path)
-    out = {"doc_id": columns["doc_id"], "n_tokens": [], "ids_sha256": [], "decoded_sha256": []}
-    end = str(m.eos)
-    for text in columns["text"]:
-        units = [m.unit(u) for u in m.units(text or "")]
-        ids = " ".join([*(u[0] for u in units), end])
-        back = b"".join([u[2] for u in units]).removeprefix(b" ")
-        out["n_tokens"].append(sum(u[1] for u in units) + 1)
-        out["ids_sha256"].append(hashlib.sha256(ids.encode()).hexdigest())
-        out["decoded_sha256"].append(hashlib.sha256(back).hexdigest())
-    return out
+    numbers, ids, back = m.laid_out(columns["text"])
+    end = str(m.eos).encode()
+    ids_sha256 = []
+    for own in ids:
+        digest = hashlib.sha256(own)
+        digest.update(end)
+        ids_sha256.append(digest.hexdigest())
+    return {"doc_id": columns["doc_id"], "n_tokens": [n + 1 for n in numbers], "ids_sha256": ids_sha256, "decoded_sha256": [hashlib.sha256(b).hexdigest() for b in back]}
 
 
 def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -201,7 +231,7 @@ def encode_column(docs: DataFrame, path: str, id_col: str = "doc_id", text_col:
 
     def turn(columns: dict[str, list], path: str) -> dict[str, list]:
         m = model(path)
-        ids = [m.encode(t) for t in columns["text"]]
+        ids = m.encode_all(columns["text"])
         return {"doc_id": columns["doc_id"], "ids": ids, "decoded": [m.decode(i) for i in ids]}
 
     rows = docs.select(F.col(id_col).alias("doc_id"), F.col(text_col).alias("text"))

@@ -6,6 +6,7 @@ import math
 import pickle
 import random
 import re
+import sys
 import tracemalloc
 import zlib
 from collections import Counter
@@ -683,6 +684,38 @@ def test_sentencepiece(odd, empty, docs):
     assert sentencepiece_bpe.digests(empty, path).count() == 0
 
 
+def test_repeated_words_take_no_call_each(monkeypatch):
+    """Python's calls follow the different parts of a batch, not its words; ids are the library's, also when the kept parts change tables."""
+    import sentencepiece
+
+    path = public_tokenizers.path(PIECE_BPE)
+    sp = sentencepiece.SentencePieceProcessor(model_file=path)
+    rng = random.Random(5)
+    some = ["the", "Schön.", "ñandú,", "a\nB", "", "$$$", "漢字é", "x▁y", "😀\x00", "anderelethe", "w" * 90]
+    texts = [" ".join(rng.choice(some) for _ in range(rng.randint(0, 400))) for _ in range(60)] + ["", None, " ", "▁", "  "]
+    calls = Counter()
+
+    def count(frame, event, arg):
+        calls[event] += event in ("call", "c_call")
+
+    monkeypatch.setattr(sentencepiece_bpe, "KEPT", 8)
+    monkeypatch.setattr(sentencepiece_bpe, "SLICE", 1000, raising=False)
+    m = sentencepiece_bpe.PieceModel(path)
+    monkeypatch.setattr(sentencepiece_bpe, "model", lambda path: m)
+    for rows in (texts, texts[::-1], [None, ""], []):
+        calls.clear()
+        sys.setprofile(count)
+        try:
+            got = sentencepiece_bpe._digests({"doc_id": list(range(len(rows))), "text": rows}, path)
+        finally:
+            sys.setprofile(None)
+        assert calls.total() < sum(len((t or "").split(" ")) for t in rows) / 2 or len(rows) < 3
+        ids = [sp.encode(t or "", add_eos=True) for t in rows]
+        assert m.encode_all(rows) == ids and got["n_tokens"] == [len(i) for i in ids]
+        assert got["ids_sha256"] == [hashlib.sha256(" ".join(map(str, i)).encode()).hexdigest() for i in ids]
+        assert got["decoded_sha256"] == [hashlib.sha256(sp.decode(i).encode()).hexdigest() for i in ids]
+
+
 def test_pipeline(spark):
     """Stage by stage on its own input, against plain Python where that can say it."""
     import corpus_pipeline
